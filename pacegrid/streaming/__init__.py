@@ -1,0 +1 @@
+"""Nothing lives here: every input is a whole file and every job is a batch."""
