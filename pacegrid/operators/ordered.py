@@ -179,5 +179,5 @@ class Ordered:
 
 
 def global_ordinal(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Position of each row in the whole table. The table is always cut: no task sorts all of it."""
+    """Position of each row in the whole table, which is cut into pieces unless counting shows it is small."""
     return Ordered(df, (), order).number(out).frame

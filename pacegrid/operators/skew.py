@@ -111,9 +111,9 @@ class Groups:
 
 
 def plan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Groups:
-    """Decide which groups need cutting. With no keys the whole table is one group and always cut."""
+    """Decide which groups need cutting. With no keys the whole table is one group."""
     keys, order = tuple(keys), tuple(order)
-    _, parts = limits(df)
+    most, parts = limits(df)
     if keys:
         large = large_groups(df, keys)
         if not large:
@@ -121,6 +121,8 @@ def plan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Gro
         names = df.sparkSession.createDataFrame(large, df.select(*keys).schema.add("__n", "long"))
         names = names.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
         rows = df.join(F.broadcast(names), same_keys(df, names, keys, "__k_"), "left_semi")
+    elif df.count() <= most:
+        return Groups(keys, order, None)
     else:
         rows = df
     ranged = rows.select(*keys, _order_value(order).alias("o")).repartitionByRange(parts, *keys, "o")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pacegrid.functions.numbers import missing
 from pacegrid.operators.joins import lookup_join
 from pacegrid.operators.ordered import Ordered, global_ordinal
+from pacegrid.session import settle
 
 
 def _floating(df: DataFrame, c: str) -> bool:
@@ -111,7 +112,7 @@ def zscore(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = Non
 def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
     """Position of the value among the sorted distinct values, from 1; null keeps null."""
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return lookup_join(df, global_ordinal(levels, [column], out), [column])
+    return lookup_join(df, settle(global_ordinal(levels, [column], out)), [column])
 
 
 def target_encode(
@@ -123,5 +124,5 @@ def target_encode(
     overall = source.agg(F.avg(label)).scalar()
     encoded = (F.col("__sum") + F.lit(smoothing) * F.col("__overall")) / (F.col("__n") + F.lit(smoothing))
     codes = sums.withColumn("__overall", overall).select(category, encoded.alias(out))
-    joined = lookup_join(df, codes, [category])
+    joined = lookup_join(df, settle(codes), [category])
     return joined.withColumn(out, F.coalesce(F.col(out), overall))

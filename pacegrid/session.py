@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "pacegrid") -> SparkSession:
@@ -16,6 +16,7 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "pacegrid")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -38,3 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate table once, into the shared folder, and cut its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
