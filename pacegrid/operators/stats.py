@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacegrid.functions.numbers import missing
-from pacegrid.operators.joins import lookup_join
+from pacegrid.operators.joins import lookup_join, salted_join
 from pacegrid.operators.ordered import Ordered, global_ordinal
 from pacegrid.session import settle
 
@@ -126,3 +126,15 @@ def target_encode(
     codes = sums.withColumn("__overall", overall).select(category, encoded.alias(out))
     joined = lookup_join(df, settle(codes), [category])
     return joined.withColumn(out, F.coalesce(F.col(out), overall))
+
+
+def position(df: DataFrame, field: Sequence[str], elapsed: str, out: str) -> DataFrame:
+    """Rank within the field by elapsed time, equal times sharing the better rank.
+
+    The rank is one more than the number of rows with a smaller time, so counts per distinct time
+    are enough and equal rows travel once.
+    """
+    times = df.groupBy(*field, elapsed).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Ordered(times, field, [elapsed]).running_total("__n", "__upto").frame
+    ranks = upto.select(*field, elapsed, (F.col("__upto") - F.col("__n") + 1).alias(out))
+    return salted_join(df, ranks, [*field, elapsed], "inner")
