@@ -33,6 +33,11 @@ class Ordered:
         """Apply a row-wise change (``DataFrame`` -> ``DataFrame``) that keeps key and order columns."""
         return self._with(change(self._df))
 
+    def refine(self, keys: Sequence[str], order: Sequence[str], df: DataFrame | None = None) -> Ordered:
+        """Other keys at least as fine, or another order: nothing to look for if no group was too large."""
+        groups = None if self.groups.split else Groups(tuple(keys), tuple(order), None)
+        return Ordered(self.frame if df is None else df, keys, order, groups)
+
     def _running(self):
         return self.groups.window().rowsBetween(Window.unboundedPreceding, 0)
 

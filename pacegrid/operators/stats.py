@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacegrid.functions.numbers import missing
 from pacegrid.operators.joins import lookup_join, salted_join
 from pacegrid.operators.ordered import Ordered, global_ordinal
+from pacegrid.operators.skew import large_groups
 from pacegrid.session import settle
 
 
@@ -131,9 +132,12 @@ def target_encode(
 def position(df: DataFrame, field: Sequence[str], elapsed: str, out: str) -> DataFrame:
     """Rank within the field by elapsed time, equal times sharing the better rank.
 
-    The rank is one more than the number of rows with a smaller time, so counts per distinct time
-    are enough and equal rows travel once.
+    In a field too large for one task the rank is one more than the number of rows with a smaller
+    time: counts per distinct time are enough, and equal rows travel once.
     """
+    if not large_groups(df, field):
+        rank = F.rank().over(Window.partitionBy(*field).orderBy(elapsed)).cast("bigint")
+        return df.withColumn(out, rank)
     times = df.groupBy(*field, elapsed).agg(F.count(F.lit(1)).alias("__n"))
     upto = Ordered(times, field, [elapsed]).running_total("__n", "__upto").frame
     ranks = upto.select(*field, elapsed, (F.col("__upto") - F.col("__n") + 1).alias(out))
