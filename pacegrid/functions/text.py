@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def strip_digits(c: Column) -> Column:
 
 def part(c: Column, separator: str, index: int) -> Column:
     """Piece ``index`` (from 0) of the text split on a literal separator, null if there is none."""
-    return F.get(F.split(c, f"\\Q{separator}\\E"), F.lit(index))
+    return F.get(F.split(c, re.escape(separator)), F.lit(index))
 
 
 def duration_seconds(c: Column, parts: int = 2) -> Column:

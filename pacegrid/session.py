@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a small intermediate table once, into the shared folder, and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute an intermediate table once: write it to the shared folder and read it back.
+
+    Later passes read only the columns they need, and a lost executor costs a re-read instead of the
+    whole lineage. The folder's owner clears it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
