@@ -139,22 +139,23 @@ class Ordered:
         df, new = self._df, {}
         if self.groups.split:
             known = {c: F.when(F.col(c).isNotNull(), self.groups.order_value()) for c in columns}
-            ends, across = {}, {}
+            earlier, later, ends, across = self._earlier(), self._later(), {}, {}
             for i, c in enumerate(columns):
                 if "down" in steps:
                     ends[f"__x{i}"] = F.max_by(F.col(c), known[c])
-                    across[f"__down{i}"] = F.last(f"__x{i}", ignorenulls=True).over(self._earlier())
+                    across[f"__down{i}"] = F.last(f"__x{i}", ignorenulls=True).over(earlier)
                 if "up" in steps:
                     ends[f"__y{i}"] = F.min_by(F.col(c), known[c])
-                    across[f"__up{i}"] = F.first(f"__y{i}", ignorenulls=True).over(self._later())
+                    across[f"__up{i}"] = F.first(f"__y{i}", ignorenulls=True).over(later)
             df = self._join_carry(self._carry(ends, across))
+        running, following = self._running(), self._following()
         for i, c in enumerate(columns):
             found = []
             for step in steps:
                 if step == "down":
-                    found.append(F.last(c, ignorenulls=True).over(self._running()))
+                    found.append(F.last(c, ignorenulls=True).over(running))
                 else:
-                    found.append(F.first(c, ignorenulls=True).over(self._following()))
+                    found.append(F.first(c, ignorenulls=True).over(following))
                 if self.groups.split:
                     found.append(F.col(f"__{step}{i}"))
             new[c] = F.coalesce(*found)

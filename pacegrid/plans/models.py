@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
+from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.operators.sets import tagged_union
+from pacegrid.operators.stats import rmsle_by_group, squared_log_error, target_encode
+from pacegrid.session import settle, shared_dir
+
+# The seed of the tree models and the search grid of the published runs.
+TREE_SEED = 55
+SEARCH_GRID = {"maxIter": (500, 1000, 3000), "maxDepth": (4, 6, 8), "stepSize": (0.01, 0.1, 0.03, 0.3)}
+MAX_CATEGORIES = 64
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], share: float, out: str) -> DataFrame:
     """Mark rows train or valid by a hash of their key: the same row lands the same way in every run."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
-    return df.withColumn(out, F.when(bucket < int(share * 100), "train").otherwise("valid"))
+    return df.withColumn(out, F.when(bucket < round(share * 100), "train").otherwise("valid"))
 
 
 def parameter_grid(**values: Sequence) -> list[dict]:
@@ -26,3 +40,252 @@ def parameter_grid(**values: Sequence) -> list[dict]:
 def prediction_log(by_model: Mapping[str, DataFrame]) -> DataFrame:
     """Predictions of several models in one frame, each row marked with its model."""
     return tagged_union(by_model, "model")
+
+
+class RmsleEvaluator(Evaluator, HasLabelCol, HasPredictionCol):
+    """Root mean squared log error; smaller is better. Predictions below zero count as zero."""
+
+    @keyword_only
+    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
+        super().__init__()
+        self._set(labelCol=labelCol, predictionCol=predictionCol)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        predicted = F.greatest(F.col(self.getPredictionCol()), F.lit(0.0))
+        scored = dataset.withColumn("__p", predicted)
+        return rmsle_by_group(scored, [], self.getLabelCol(), "__p").first()["rmsle"]
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
+def split_categories(df: DataFrame, categorical: Sequence[str], most: int = MAX_CATEGORIES):
+    """(categories few enough to be coded one by one, the others), from one approximate count."""
+    if not categorical:
+        return [], []
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    few = [c for c in categorical if counts[c] <= most]
+    return few, [c for c in categorical if c not in few]
+
+
+def encode_wide_categories(
+    train: DataFrame, frames: Sequence[DataFrame], categories: Sequence[str], label: str, smoothing: float = 20.0
+) -> list[DataFrame]:
+    """Replace categories of many values by their mean label in the training rows, as ``{name}_MEAN``."""
+    out = list(frames)
+    for c in categories:
+        out = [target_encode(df, c, label, f"{c}_MEAN", smoothing, fit_on=train) for df in out]
+    return out
+
+
+def feature_stages(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> list:
+    """Index the categories, unseen values getting a code of their own, and assemble one vector."""
+    indexed = [f"{c}_CODE" for c in categorical]
+    stages = []
+    if categorical:
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
+    return [*stages, VectorAssembler(inputCols=[*numeric, *indexed], outputCol=out, handleInvalid="keep")]
+
+
+def fit_linear(df: DataFrame, label: str, predictors: Sequence[str], prediction: str = "predict") -> PipelineModel:
+    """Least squares with categories against their first level; rows with a missing value are left out."""
+    formula = RFormula(
+        formula=f"{label} ~ {' + '.join(predictors)}",
+        stringIndexerOrderType="alphabetDesc",
+        handleInvalid="skip",
+        featuresCol="__x",
+        labelCol="__y",
+    )
+    line = LinearRegression(featuresCol="__x", labelCol="__y", predictionCol=prediction, solver="normal")
+    return Pipeline(stages=[formula, line]).fit(df.dropna(subset=[label, *predictors]))
+
+
+def linear_summary(model: PipelineModel, fitted_on: DataFrame) -> DataFrame:
+    """Term, estimate, standard error, t and p of a fitted linear model (the intercept last)."""
+    line = model.stages[-1]
+    names = _vector_names(model.transform(fitted_on.limit(0)), "__x")
+    summary = line.summary
+    rows = zip(
+        [*names, "(Intercept)"],
+        [*(float(v) for v in line.coefficients), float(line.intercept)],
+        summary.coefficientStandardErrors,
+        summary.tValues,
+        summary.pValues,
+    )
+    kinds = "term string, estimate double, std_error double, t_value double, p_value double"
+    return fitted_on.sparkSession.createDataFrame(list(rows), kinds)
+
+
+def _vector_names(df: DataFrame, column: str) -> list[str]:
+    attributes = df.schema[column].metadata["ml_attr"]["attrs"]
+    flat = [a for kind in attributes.values() for a in kind]
+    return [a["name"] for a in sorted(flat, key=lambda a: a["idx"])]
+
+
+def glm_candidates(label: str, prediction: str = "prediction") -> dict[str, object]:
+    """Ten linear models: Gaussian and gamma, identity and log link, several penalties."""
+    common = dict(labelCol=label, featuresCol="features", predictionCol=prediction)
+    models: dict[str, object] = {}
+    for penalty in (0.0, 0.01, 0.1):
+        for link in ("identity", "log"):
+            name = f"gaussian_{link}_{penalty}"
+            models[name] = GeneralizedLinearRegression(family="gaussian", link=link, regParam=penalty, **common)
+    for mix in (0.5, 1.0):
+        models[f"elastic_{mix}"] = LinearRegression(regParam=0.1, elasticNetParam=mix, **common)
+    for penalty in (0.0, 0.1):
+        models[f"gamma_log_{penalty}"] = GeneralizedLinearRegression(
+            family="gamma", link="log", regParam=penalty, **common
+        )
+    return models
+
+
+@dataclass
+class Leaderboard:
+    """Scores best first, and the fitted models by id."""
+
+    table: DataFrame
+    models: dict[str, PipelineModel]
+
+    def best(self) -> tuple[str, PipelineModel]:
+        model_id = self.table.first()["model_id"]
+        return model_id, self.models[model_id]
+
+
+def fit_leaderboard(
+    train: DataFrame,
+    valid: DataFrame,
+    label: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    candidates: Mapping[str, object] | None = None,
+) -> Leaderboard:
+    """Fit every candidate on assembled features and rank by log error on the validation rows.
+
+    All candidates are scored in one pass over the validation rows.
+    """
+    candidates = candidates if candidates is not None else glm_candidates(label)
+    stages = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
+    ready = settle(stages.transform(train).select(label, "features"))
+    fitted = {}
+    for model_id, estimator in candidates.items():
+        fitted[model_id] = PipelineModel([*stages.stages, estimator.fit(ready)])
+    scored = stages.transform(valid).select(label, "features")
+    for i, model in enumerate(fitted.values()):
+        scored = model.stages[-1].transform(scored).withColumnRenamed("prediction", f"p{i}")
+    errors = [
+        F.sqrt(F.avg(squared_log_error(F.col(label), F.greatest(F.col(f"p{i}"), F.lit(0.0))))).alias(f"p{i}")
+        for i in range(len(fitted))
+    ]
+    scores = scored.agg(*errors).first()
+    rows = [
+        (model_id, scores[f"p{i}"], _settings(candidates[model_id])) for i, model_id in enumerate(fitted)
+    ]
+    table = train.sparkSession.createDataFrame(rows, "model_id string, rmsle double, params string")
+    return Leaderboard(table.orderBy(F.asc_nulls_last("rmsle"), "model_id"), fitted)
+
+
+def _settings(estimator) -> str:
+    chosen = {p.name: v for p, v in estimator.extractParamMap().items() if estimator.isSet(p)}
+    return ", ".join(f"{k}={chosen[k]}" for k in sorted(chosen) if not k.endswith("Col"))
+
+
+def fit_trees(
+    df: DataFrame,
+    label: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    iterations: int = 20,
+    depth: int = 5,
+    rate: float = 0.1,
+    valid: str | None = None,
+    prediction: str = "predict",
+) -> PipelineModel:
+    """Boosted regression trees under squared loss; ``valid`` names a boolean column whose rows stop the fit early."""
+    shared_dir(df.sparkSession)
+    trees = GBTRegressor(
+        featuresCol="features",
+        labelCol=label,
+        predictionCol=prediction,
+        maxIter=iterations,
+        maxDepth=depth,
+        stepSize=rate,
+        maxBins=2 * MAX_CATEGORIES,
+        lossType="squared",
+        seed=TREE_SEED,
+        cacheNodeIds=True,
+        checkpointInterval=10,
+    )
+    columns = [label, "features"]
+    if valid:
+        trees.setValidationIndicatorCol(valid)
+        columns.append(valid)
+    known = df.where(F.col(label).isNotNull())
+    stages = Pipeline(stages=feature_stages(numeric, categorical)).fit(known)
+    # every boosting round reads the assembled rows
+    ready = settle(stages.transform(known).select(*columns))
+    return PipelineModel([*stages.stages, trees.fit(ready)])
+
+
+def feature_importance(model: PipelineModel, like: DataFrame) -> DataFrame:
+    """Features by falling importance in a fitted tree model."""
+    assembler, trees = model.stages[-2], model.stages[-1]
+    importance = trees.featureImportances.toArray()
+    rows = [(name, float(v)) for name, v in zip(assembler.getInputCols(), importance)]
+    table = like.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return table.orderBy(F.desc("importance"), "feature")
+
+
+@dataclass
+class ResidualStack:
+    """A linear model and trees on what it leaves over; the prediction is the sum of the two."""
+
+    linear: Transformer
+    trees: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        first = self.linear.transform(df)
+        first = first.drop(*[c for c in first.columns if c in ("features", "__x", "__y") or c.endswith("_CODE")])
+        second = self.trees.transform(first.withColumnRenamed("prediction", "predict"))
+        return second.withColumn("LAP_TIME_PREDICTED", F.col("predict") + F.col("residual_predict"))
+
+
+def fit_residual_stack(
+    train: DataFrame,
+    label: str,
+    linear: Transformer,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    **settings,
+) -> ResidualStack:
+    """Fit trees on the residuals of an already fitted model, over other features."""
+    first = linear.transform(train).withColumnRenamed("prediction", "predict")
+    residual = first.withColumn("residual", F.col(label) - F.col("predict"))
+    residual = residual.select("residual", *numeric, *categorical)
+    trees = fit_trees(residual, "residual", numeric, categorical, prediction="residual_predict", **settings)
+    return ResidualStack(linear, trees)
+
+
+def grid_search(
+    train: DataFrame,
+    valid: DataFrame,
+    label: str,
+    grid: Sequence[Mapping],
+    fit: Callable[[DataFrame, Mapping], Transformer],
+    prediction: str = "predict",
+) -> DataFrame:
+    """Fit at every grid point and rank by log error on the validation rows."""
+    score = RmsleEvaluator(labelCol=label, predictionCol=prediction)
+    rows = []
+    for point in grid:
+        model = fit(train, point)
+        rows.append((", ".join(f"{k}={v}" for k, v in point.items()), float(score.evaluate(model.transform(valid)))))
+    table = train.sparkSession.createDataFrame(rows, "params string, rmsle double")
+    return table.orderBy("rmsle", "params")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
