@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, RFormula, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
@@ -19,9 +19,10 @@ from pacegrid.operators.sets import tagged_union
 from pacegrid.operators.stats import rmsle_by_group, squared_log_error, target_encode
 from pacegrid.session import settle, shared_dir
 
-# The seed of the tree models and the search grid of the published runs.
+# The seed of the tree models, the search grid of the published runs, the mark of a missing number.
 TREE_SEED = 55
 SEARCH_GRID = {"maxIter": (500, 1000, 3000), "maxDepth": (4, 6, 8), "stepSize": (0.01, 0.1, 0.03, 0.3)}
+MISSING_LOW = -999
 MAX_CATEGORIES = 64
 
 
@@ -78,13 +79,21 @@ def encode_wide_categories(
     return out
 
 
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> list:
-    """Index the categories, unseen values getting a code of their own, and assemble one vector."""
-    indexed = [f"{c}_CODE" for c in categorical]
-    stages = []
+def feature_stages(numeric: Sequence[str], categorical: Sequence[str], missing: str = "low") -> list:
+    """Index the categories, unseen values getting a code of their own, and assemble one vector.
+
+    Missing numbers take the column's mean (``"mean"``, for linear models) or a value below all others
+    (``"low"``, for trees).
+    """
+    stages, numbers, codes = [], [f"{c}_CODE" for c in numeric], [f"{c}_CODE" for c in categorical]
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
-    return [*stages, VectorAssembler(inputCols=[*numeric, *indexed], outputCol=out, handleInvalid="keep")]
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep"))
+    if missing == "mean":
+        stages.append(Imputer(inputCols=list(numeric), outputCols=numbers, strategy="mean"))
+    else:
+        known = [f"coalesce(CASE WHEN NOT isnan(`{c}`) THEN `{c}` END, {MISSING_LOW}) AS `{c}_CODE`" for c in numeric]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(known)} FROM __THIS__"))
+    return [*stages, VectorAssembler(inputCols=[*numbers, *codes], outputCol="features")]
 
 
 def fit_linear(df: DataFrame, label: str, predictors: Sequence[str], prediction: str = "predict") -> PipelineModel:
@@ -163,8 +172,11 @@ def fit_leaderboard(
 
     All candidates are scored in one pass over the validation rows.
     """
-    candidates = candidates if candidates is not None else glm_candidates(label)
-    stages = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
+    shared_dir(train.sparkSession)
+    linear = candidates is None
+    candidates = glm_candidates(label) if linear else candidates
+    missing = "mean" if linear else "low"
+    stages = Pipeline(stages=feature_stages(numeric, categorical, missing)).fit(train)
     ready = settle(stages.transform(train).select(label, "features"))
     fitted = {}
     for model_id, estimator in candidates.items():
@@ -189,32 +201,37 @@ def _settings(estimator) -> str:
     return ", ".join(f"{k}={chosen[k]}" for k in sorted(chosen) if not k.endswith("Col"))
 
 
-def fit_trees(
-    df: DataFrame,
-    label: str,
-    numeric: Sequence[str],
-    categorical: Sequence[str] = (),
-    iterations: int = 20,
-    depth: int = 5,
-    rate: float = 0.1,
-    valid: str | None = None,
-    prediction: str = "predict",
-) -> PipelineModel:
-    """Boosted regression trees under squared loss; ``valid`` names a boolean column whose rows stop the fit early."""
-    shared_dir(df.sparkSession)
-    trees = GBTRegressor(
+def tree_estimator(
+    label: str, prediction: str, maxIter: int = 20, maxDepth: int = 5, stepSize: float = 0.1
+) -> GBTRegressor:
+    """Boosted regression trees under squared loss."""
+    return GBTRegressor(
         featuresCol="features",
         labelCol=label,
         predictionCol=prediction,
-        maxIter=iterations,
-        maxDepth=depth,
-        stepSize=rate,
+        maxIter=maxIter,
+        maxDepth=maxDepth,
+        stepSize=stepSize,
         maxBins=2 * MAX_CATEGORIES,
         lossType="squared",
         seed=TREE_SEED,
         cacheNodeIds=True,
         checkpointInterval=10,
     )
+
+
+def fit_trees(
+    df: DataFrame,
+    label: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    valid: str | None = None,
+    prediction: str = "predict",
+    **settings,
+) -> PipelineModel:
+    """Fit boosted trees; ``valid`` names a boolean column whose rows only decide when to stop."""
+    shared_dir(df.sparkSession)
+    trees = tree_estimator(label, prediction, **settings)
     columns = [label, "features"]
     if valid:
         trees.setValidationIndicatorCol(valid)
@@ -230,7 +247,8 @@ def feature_importance(model: PipelineModel, like: DataFrame) -> DataFrame:
     """Features by falling importance in a fitted tree model."""
     assembler, trees = model.stages[-2], model.stages[-1]
     importance = trees.featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(assembler.getInputCols(), importance)]
+    names = [c.removesuffix("_CODE") for c in assembler.getInputCols()]
+    rows = [(name, float(v)) for name, v in zip(names, importance)]
     table = like.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")
 
@@ -244,9 +262,14 @@ class ResidualStack:
 
     def transform(self, df: DataFrame) -> DataFrame:
         first = self.linear.transform(df)
-        first = first.drop(*[c for c in first.columns if c in ("features", "__x", "__y") or c.endswith("_CODE")])
-        second = self.trees.transform(first.withColumnRenamed("prediction", "predict"))
-        return second.withColumn("LAP_TIME_PREDICTED", F.col("predict") + F.col("residual_predict"))
+        second = self.trees.transform(_without_features(first).withColumnRenamed("prediction", "predict"))
+        total = F.col("predict") + F.col("residual_predict")
+        return _without_features(second).withColumn("stacked_predict", total)
+
+
+def _without_features(df: DataFrame) -> DataFrame:
+    """Drop the columns a fitted model adds on its way to a prediction."""
+    return df.drop(*[c for c in df.columns if c in ("features", "__x", "__y") or c.endswith("_CODE")])
 
 
 def fit_residual_stack(
@@ -265,22 +288,12 @@ def fit_residual_stack(
     return ResidualStack(linear, trees)
 
 
-def grid_search(
-    train: DataFrame,
-    valid: DataFrame,
-    label: str,
-    grid: Sequence[Mapping],
-    fit: Callable[[DataFrame, Mapping], Transformer],
-    prediction: str = "predict",
-) -> DataFrame:
-    """Fit at every grid point and rank by log error on the validation rows."""
-    score = RmsleEvaluator(labelCol=label, predictionCol=prediction)
-    rows = []
-    for point in grid:
-        model = fit(train, point)
-        rows.append((", ".join(f"{k}={v}" for k, v in point.items()), float(score.evaluate(model.transform(valid)))))
-    table = train.sparkSession.createDataFrame(rows, "params string, rmsle double")
-    return table.orderBy("rmsle", "params")
+def tree_candidates(label: str, grid: Sequence[Mapping]) -> dict[str, object]:
+    """One tree estimator per grid point, for ``fit_leaderboard``."""
+    return {
+        ", ".join(f"{k}={v}" for k, v in point.items()): tree_estimator(label, "prediction", **point)
+        for point in grid
+    }
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -95,14 +95,14 @@ def glm_leaderboard(t):
 def gbt_fit_predict(t):
     _, valid, df = parts(t)
     marked = df.withColumn("held_out", F.col("part") == "valid")
-    model = M.fit_trees(marked, LABEL, NUMERIC, CATEGORICAL, iterations=8, depth=4, rate=0.3, valid="held_out")
+    model = M.fit_trees(marked, LABEL, NUMERIC, CATEGORICAL, maxIter=8, maxDepth=4, stepSize=0.3, valid="held_out")
     return model.transform(valid).select(*KEY, LABEL, "predict")
 
 
 @query("feature_importance")
 def feature_importance(t):
     train, _, _ = parts(t)
-    model = M.fit_trees(train, LABEL, NUMERIC, CATEGORICAL, iterations=5, depth=4, rate=0.3)
+    model = M.fit_trees(train, LABEL, NUMERIC, CATEGORICAL, maxIter=5, maxDepth=4, stepSize=0.3)
     return M.feature_importance(model, train)
 
 
@@ -115,23 +115,17 @@ def _line(train):
 def residual_stack(t):
     train, valid, _ = parts(t)
     stack = M.fit_residual_stack(
-        train, LABEL, _line(train), ["l_discount", "l_tax"], ["l_returnflag"], iterations=5, depth=3, rate=0.3
+        train, LABEL, _line(train), ["l_discount", "l_tax"], ["l_returnflag"], maxIter=5, maxDepth=3, stepSize=0.3
     )
     scored = stack.transform(valid)
-    return scored.select(*KEY, LABEL, "predict", "residual_predict", "LAP_TIME_PREDICTED")
+    return scored.select(*KEY, LABEL, "predict", "residual_predict", "stacked_predict")
 
 
 @query("grid_search_scores")
 def grid_search_scores(t):
     train, valid, _ = parts(t)
     grid = M.parameter_grid(maxIter=(3, 6), maxDepth=(2, 4), stepSize=(0.1, 0.3))
-
-    def fit(df, point):
-        return M.fit_trees(
-            df, LABEL, NUMERIC, CATEGORICAL, point["maxIter"], point["maxDepth"], point["stepSize"]
-        )
-
-    return M.grid_search(train, valid, LABEL, grid, fit)
+    return M.fit_leaderboard(train, valid, LABEL, NUMERIC, CATEGORICAL, M.tree_candidates(LABEL, grid)).table
 
 
 @query("model_save_load")
