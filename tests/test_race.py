@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pacegrid.plans import features, laps, weather
 from pacegrid.plans.features import CARRIED, CELLS, LAP_KEYS, PLAIN, RESIDUAL, SEARCHED
 from pacegrid.plans.laps import SECTORS
+from pacegrid.session import settle
 from pacegrid.sources import schemas
 from test_golden import READING, reading
 
@@ -99,8 +100,7 @@ def race(spark):
     # nothing is driven before S1 of car 6, so its pit row falls into minute 0
     cars += [(6, 1, 0, 30, 20, 20, None), (6, 2, 10, 3700, 20, 20, None)]
     frame = laps.repair_team(lap_frame(spark, cars)).withColumn("tr", F.when(F.col("NUMBER") == 5, "TEST").otherwise("TRAIN"))
-    clocked = laps.clock_laps(frame, ["_seq"], ["tr"])
-    return clocked, series
+    return settle(laps.clock_laps(frame, ["_seq"], ["tr"])), settle(series)
 
 
 def test_half_matched_lap_gives_two_rows(spark, race):
