@@ -30,13 +30,16 @@ def _equi(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> Dat
     return joined.drop(*[f"__r_{k}" for k in on])
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot: list | None = None
+) -> DataFrame:
     """Left or inner join whose left side may have hot keys.
 
     Rows of a hot key are spread over as many salts as keep each share at the size of an average
-    partition, and only the right rows of hot keys are repeated, once per salt.
+    partition, and only the right rows of hot keys are repeated, once per salt. ``hot`` passes on what
+    ``large_groups`` found before, as in a chain of joins on the same keys.
     """
-    hot = large_groups(left, on)
+    hot = large_groups(left, on) if hot is None else hot
     if not hot:
         return _equi(left, right, on, how)
     rows, parts = limits(left)

@@ -39,7 +39,8 @@ def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     long = doubles.unpivot([], list(columns), "column", "value")
     long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # read for the totals, for group sizes and for the running count
+    counted = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     n, value = F.col("n"), F.col("value")
     basics = counted.groupBy("column").agg(
         F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("known"),

@@ -7,6 +7,7 @@ from pacegrid.functions.numbers import rounded
 from pacegrid.operators import joins as J
 from pacegrid.operators import sets as S
 from pacegrid.operators.ordered import Ordered
+from pacegrid.operators.skew import large_groups
 from pacegrid.queries.base import clock_text, query
 from pacegrid.queries.windows import GRID_SQL, event_grid
 
@@ -61,7 +62,8 @@ def multi_key_inner_join(t):
     kept = t.lineitem.where(F.col("l_returnflag") != "A")
     tops = kept.groupBy(*keys).agg(F.max("l_extendedprice").alias("top_price"))
     df = t.lineitem.select(*keys, "l_partkey")
-    return J.salted_join(J.salted_join(df, sums, keys, "inner"), tops, keys, "inner")
+    hot = large_groups(df, keys)
+    return J.salted_join(J.salted_join(df, sums, keys, "inner", hot), tops, keys, "inner", hot)
 
 
 @query(
