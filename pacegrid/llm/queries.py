@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, mixing, tokens
+from pacegrid.llm import exact, grammar, mixing, packing, tokens
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
@@ -16,15 +16,32 @@ def op4_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op5_sequence_packing(spark, folder):
+    ship(spark)
+    return packing.packed_documents(table(spark, folder, "documents"), PATH("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark, folder):
     return exact.group_exact(table(spark, folder, "documents"))
 
 
+def op7_token_files(spark, folder):
+    ship(spark)
+    files = grammar.write(table(spark, folder, "documents"), PATH("byte_bpe_50k.json"))
+    return grammar.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_token_counts(spark, folder):
     ship(spark)
     return tokens.token_counts(table(spark, folder, "documents"), PATH("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op6_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+        op4_source_mix,
+        op5_sequence_packing,
+        op6_exact_dedup,
+        op7_token_files,
+        op10_token_counts,
+    )}
 
 SQL = {"op4_source_mix": mixing.SQL, "op6_exact_dedup": exact.SQL}
