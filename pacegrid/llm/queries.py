@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, grammar, mixing, packing, tokens
+from pacegrid.llm import exact, grammar, mixing, nearest, packing, quality, tokens
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
 PATH = public_tokenizers.path
 
 
+def op3_quality(spark, folder):
+    ship(spark)
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -31,17 +36,24 @@ def op7_token_files(spark, folder):
     return grammar.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_nearest_neighbours(spark, folder):
+    ship(spark)
+    return nearest.nearest(table(spark, folder, "embeddings"))
+
+
 def op10_token_counts(spark, folder):
     ship(spark)
     return tokens.token_counts(table(spark, folder, "documents"), PATH("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (
+        op3_quality,
         op4_source_mix,
         op5_sequence_packing,
         op6_exact_dedup,
         op7_token_files,
+        op8_nearest_neighbours,
         op10_token_counts,
     )}
 
-SQL = {"op4_source_mix": mixing.SQL, "op6_exact_dedup": exact.SQL}
+SQL = {"op4_source_mix": mixing.SQL, "op6_exact_dedup": exact.SQL, "op8_nearest_neighbours": nearest.SQL}
