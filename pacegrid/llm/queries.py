@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, grammar, mixing, nearest, packing, quality, tokens
+from pacegrid.llm import exact, grammar, mixing, nearest, packing, quality, tokens, toxicity
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
@@ -41,6 +41,11 @@ def op8_nearest_neighbours(spark, folder):
     return nearest.nearest(table(spark, folder, "embeddings"))
 
 
+def op9_toxicity(spark, folder):
+    ship(spark)
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_token_counts(spark, folder):
     ship(spark)
     return tokens.token_counts(table(spark, folder, "documents"), PATH("piece_bpe_32k.model"))
@@ -53,6 +58,7 @@ QUERIES = {f.__name__: f for f in (
         op6_exact_dedup,
         op7_token_files,
         op8_nearest_neighbours,
+        op9_toxicity,
         op10_token_counts,
     )}
 
