@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, grammar, mixing, nearest, packing, quality, tokens, toxicity
+from pacegrid.llm import exact, grammar, mixing, near, nearest, packing, quality, tokens, toxicity
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
 PATH = public_tokenizers.path
 
 
+def op1_ngram_jaccard_join(spark, folder):
+    ship(spark)
+    return near.near_groups(table(spark, folder, "documents"))
+
+
 def op3_quality(spark, folder):
     ship(spark)
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -52,6 +57,7 @@ def op10_token_counts(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
+        op1_ngram_jaccard_join,
         op3_quality,
         op4_source_mix,
         op5_sequence_packing,

@@ -35,8 +35,8 @@ def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, row_ke
     # at most n rows, by the choice of the limit
     rows = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
     rows = rows.withColumn("__salt", salt.cast("long")).drop("__hot")
-    spread = F.when(F.col(size) > limit, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
-    groups = groups.withColumn("__salt", F.explode(spread).cast("long"))
+    last = F.when(F.col(size) > limit, F.lit(n - 1)).otherwise(F.lit(0)).cast("long")
+    groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return rows.join(groups, [key, "__salt"]).drop("__salt")
 
 
