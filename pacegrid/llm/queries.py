@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, grammar, mixing, near, nearest, packing, quality, tokens, toxicity
+from pacegrid.llm import exact, grammar, licence, mixing, near, nearest, packing, quality, tokens, toxicity
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark, folder):
     return near.near_groups(table(spark, folder, "documents"))
 
 
+def op2_license_scan(spark, folder):
+    return licence.licences(table(spark, folder, "documents"))
+
+
 def op3_quality(spark, folder):
     ship(spark)
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -58,6 +62,7 @@ def op10_token_counts(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
         op1_ngram_jaccard_join,
+        op2_license_scan,
         op3_quality,
         op4_source_mix,
         op5_sequence_packing,
