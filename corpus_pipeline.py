@@ -1,31 +1,54 @@
 """A training corpus from raw documents, stage by stage.
 
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` and works on all that the
-stage before kept; ``run`` writes what each returns to the shared folder and reads it again.
+stage before kept; all but the last return the columns of ``documents``. ``run`` writes what each
+returns to the shared folder and reads it again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacegrid.llm import exact, mixing
-from pacegrid.llm.tables import table
+from pacegrid.llm import exact, mixing, near, packing, quality
+from pacegrid.llm.queries import PATH
+from pacegrid.llm.tables import ship, table
 from pacegrid.session import settle
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    ship(spark)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal up to white space, the longest row stays, then the smallest id."""
     return exact.keep_first(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row of the smallest id stays."""
+    ship(spark)
+    return near.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source filled to its target; a document is there as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    ship(spark)
+    return packing.packed_documents(docs, PATH("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality_filter", quality_filter),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
 #: Classifiers and tokenizers have no SQL; see ``tests/llm/test_pipeline.py``.

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacegrid.llm.tables import WHITE, parts
+from pacegrid.llm.tables import WHITE, ids_repeat, parts
 from pacegrid.session import settle
 
 FAN = 16
@@ -81,16 +81,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = group_exact(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     rows = docs.withColumn("__own", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    points = F.char_length(F.coalesce("text", F.lit("")))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    # one id with several equal texts: the longest of them once
-    several = rows.groupBy("doc_id", "__own").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if several.isEmpty():
+    if not ids_repeat(docs):
         return rows.drop("__own")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(points.desc(), "text"))
-    return rows.withColumn("__place", place).where("__place = 1").drop("__own", "__place")
+    # one id with several equal texts: the longest of them once
+    longest = Window.partitionBy("doc_id", "__own").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text")
+    return rows.withColumn("__place", F.row_number().over(longest)).where("__place = 1").drop("__own", "__place")
 
 
 SQL = r"""

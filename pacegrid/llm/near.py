@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacegrid.llm.memo import DOUBTFUL, Memo
-from pacegrid.llm.tables import attach_group
+from pacegrid.llm.memo import Memo
+from pacegrid.llm.tables import attach_group, ids_repeat
 from pacegrid.session import settle
 
 WORDS, THRESHOLD = 5, 0.8
@@ -45,9 +45,9 @@ def _hashes() -> Memo:
     from xxhash import xxh3_64_digest
 
     def cut(text: str) -> list[str]:
-        return _RUN.findall(text) if DOUBTFUL.search(text) else text.split()
+        return _RUN.findall(text) if any(c in text for c in "\t\r\f\v") else text.replace("\n", " ").split(" ")
 
-    encode = lambda words: [xxh3_64_digest(w.encode()) for w in words]
+    encode = lambda words: [xxh3_64_digest(w.encode()) if w else b"" for w in words]
     return Memo(cut, encode, None)
 
 
@@ -327,6 +327,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     _, placed = _grouped(docs, threshold)
     heads = placed.select(F.col("head.doc_id").alias("__id"), F.col("head.mark").alias("__mark")).distinct()
     rows = docs.withColumn("__own", _mark())
-    rows = settle(rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_semi"))
-    repeated = rows.groupBy("doc_id", "__own").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "__own"])).drop("__own")
+    rows = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "__own"]) if ids_repeat(docs) else rows).drop("__own")
