@@ -19,11 +19,9 @@ PRESSURE_RANGES = (
 def range_rescale(c: Column, ranges: Sequence[tuple[float, float, float]] = PRESSURE_RANGES) -> Column:
     """Bring a whole-number reading of the wrong magnitude back by the range it falls in."""
     whole = F.floor(c).cast("double")
-    scaled = F.lit(None).cast("double")
+    scaled = whole
     for low, high, divisor in reversed(ranges):
-        fits = (whole > low) & (whole < high)
-        otherwise = whole if (low, high, divisor) == tuple(ranges[-1]) else scaled
-        scaled = F.when(fits, whole / divisor).otherwise(otherwise)
+        scaled = F.when((whole > low) & (whole < high), whole / divisor).otherwise(scaled)
     return scaled
 
 

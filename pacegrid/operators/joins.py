@@ -17,7 +17,7 @@ LOOKUP_BYTES = 64 * 1024 * 1024
 def fits_broadcast(df: DataFrame, rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES) -> bool:
     """Whether the frame is really small: counted, not estimated."""
     seen = df.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))).alias("b")
     )
     n, b = seen.first()
     return n <= rows and (b or 0) <= size
@@ -94,7 +94,13 @@ def time_bucket_join(
 def align_by_ordinal(
     left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]
 ) -> DataFrame:
-    """Put two frames side by side by row position, each in its own order."""
+    """Put two frames side by side by row position, each in its own order.
+
+    Frames of unequal length do not belong together: that raises, before any row is given.
+    """
     a = global_ordinal(left, left_order, "__row")
     b = global_ordinal(right, right_order, "__row")
+    lengths = left.count(), right.count()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"frames of {lengths[0]} and {lengths[1]} rows cannot be put side by side")
     return a.join(b, "__row", "inner").drop("__row")

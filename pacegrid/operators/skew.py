@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ROWS_SETTING = "pacegrid.split.rows"
 PARTS_SETTING = "pacegrid.split.parts"
 DEFAULT_ROWS = 2_000_000
+#: Hash buckets for each part in the search for large groups.
+BUCKETS = 64
 
 PIECE = "__piece"
 _CUTS = "__cuts"
@@ -43,20 +45,19 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: st
 def large_groups(df: DataFrame, keys: Sequence[str]) -> list:
     """Keys (with their row counts) of the groups above the limit; at most ``parts`` rows.
 
-    One pass without a shuffle finds candidates (every key above the share is among them), a second
-    counts only those exactly.
+    One pass counts rows per hash bucket, combined before its shuffle. A group above the limit lies in
+    a bucket above it, so only the keys of such buckets, if there are any, are counted one by one.
     """
     rows, parts = limits(df)
-    total = df.count()
-    if total <= rows:
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS * parts))
+    counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    limit = max(rows, (total or 0) // parts)
+    if (most or 0) <= limit:
         return []
-    limit = max(rows, total // parts)
-    hashed = F.xxhash64(*[F.col(k) for k in keys])
-    support = max(1e-4, limit / total / 2)
-    found = df.select(hashed.alias("h")).freqItems(["h"], support).first()[0]
-    if not found:
-        return []
-    counted = df.where(hashed.isin(list(found))).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # fewer than `parts` buckets hold more than an average partition
+    full = F.broadcast(counts.where(F.col("__n") > limit).select("__b"))
+    counted = df.withColumn("__b", bucket).join(full, "__b", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return counted.where(F.col("__n") > limit).collect()
 
 

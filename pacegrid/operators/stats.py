@@ -131,13 +131,13 @@ def target_encode(
 
 
 def position(df: DataFrame, field: Sequence[str], elapsed: str, out: str) -> DataFrame:
-    """Rank within the field by elapsed time, equal times sharing the better rank.
+    """Rank within the field by elapsed time, equal times sharing the better rank, missing times last.
 
     In a field too large for one task the rank is one more than the number of rows with a smaller
     time: counts per distinct time are enough, and equal rows travel once.
     """
     if not large_groups(df, field):
-        rank = F.rank().over(Window.partitionBy(*field).orderBy(elapsed)).cast("bigint")
+        rank = F.rank().over(Window.partitionBy(*field).orderBy(F.col(elapsed).asc_nulls_last())).cast("bigint")
         return df.withColumn(out, rank)
     times = df.groupBy(*field, elapsed).agg(F.count(F.lit(1)).alias("__n"))
     upto = Ordered(times, field, [elapsed]).running_total("__n", "__upto").frame

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import Imputer, RFormula, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, RFormula, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pacegrid.operators.joins import lookup_join
 from pacegrid.operators.sets import tagged_union
-from pacegrid.operators.stats import rmsle_by_group, squared_log_error, target_encode
+from pacegrid.operators.stats import rmsle_by_group, squared_log_error
 from pacegrid.session import settle, shared_dir
 
 # The seed of the tree models, the search grid of the published runs, the mark of a missing number.
@@ -24,6 +26,8 @@ TREE_SEED = 55
 SEARCH_GRID = {"maxIter": (500, 1000, 3000), "maxDepth": (4, 6, 8), "stepSize": (0.01, 0.1, 0.03, 0.3)}
 MISSING_LOW = -999
 MAX_CATEGORIES = 64
+#: Independent fits that run at the same time.
+AT_ONCE = 4
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], share: float, out: str) -> DataFrame:
@@ -60,35 +64,57 @@ class RmsleEvaluator(Evaluator, HasLabelCol, HasPredictionCol):
         return False
 
 
-def split_categories(df: DataFrame, categorical: Sequence[str], most: int = MAX_CATEGORIES):
-    """(categories few enough to be coded one by one, the others), from one approximate count."""
-    if not categorical:
-        return [], []
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    few = [c for c in categorical if counts[c] <= most]
-    return few, [c for c in categorical if c not in few]
+def check_categories(df: DataFrame, categorical: Sequence[str], most: int = MAX_CATEGORIES) -> None:
+    """Raise where a column has more values than can be coded one by one on the driver."""
+    for c in categorical:
+        if df.select(c).distinct().limit(most + 1).count() > most:
+            raise ValueError(f"{c} has more than {most} values: encode it by target_folds, or leave it out")
 
 
-def encode_wide_categories(
-    train: DataFrame, frames: Sequence[DataFrame], categories: Sequence[str], label: str, smoothing: float = 20.0
-) -> list[DataFrame]:
-    """Replace categories of many values by their mean label in the training rows, as ``{name}_MEAN``."""
-    out = list(frames)
-    for c in categories:
-        out = [target_encode(df, c, label, f"{c}_MEAN", smoothing, fit_on=train) for df in out]
-    return out
+def target_folds(
+    df: DataFrame, category: str, label: str, out: str, fitted: Column, keys: Sequence[str],
+    smoothing: float = 20.0, folds: int = 5,
+) -> DataFrame:
+    """Mean label of the row's category in the rows where ``fitted`` holds.
 
-
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str], missing: str = "low") -> list:
+    A fitted row's own code comes from the other folds only, so no row sees its own label; other rows
+    use all fitted ones. Unseen categories take the overall mean.
+    """
+    number = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(folds)).cast("int")
+    df = df.withColumn("__fold", F.when(fitted & F.col(label).isNotNull(), number).otherwise(F.lit(-1)))
+    rows = df.where(F.col("__fold") >= 0)
+    own = rows.groupBy(category, "__fold").agg(F.sum(label).alias("s"), F.count(label).alias("n"))
+    overall = rows.agg(F.avg(label)).scalar()
+    sums = own.groupBy(category).agg(
+        F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("__fold", F.struct("s", "n")))).alias("by")
+    )
+    every = F.explode(F.array(*[F.lit(f) for f in range(-1, folds)])).alias("__fold")
+    sums = sums.select(category, "all_s", "all_n", "by", every).withColumn("mine", F.try_element_at("by", F.col("__fold")))
+    s = F.col("all_s") - F.coalesce(F.col("mine.s"), F.lit(0.0))
+    n = F.col("all_n") - F.coalesce(F.col("mine.n"), F.lit(0))
+    code = F.try_divide(s + F.lit(smoothing) * overall, n + F.lit(smoothing))
+    joined = lookup_join(df, settle(sums.select(category, "__fold", code.alias(out))), [category, "__fold"])
+    return joined.withColumn(out, F.coalesce(F.col(out), overall)).drop("__fold")
+
+
+def feature_stages(
+    numeric: Sequence[str], categorical: Sequence[str], missing: str = "low", one_hot: bool = False
+) -> list:
     """Index the categories, unseen values getting a code of their own, and assemble one vector.
 
-    Missing numbers take the column's mean (``"mean"``, for linear models) or a value below all others
+    ``one_hot`` gives each value a column, as linear models need: a code's size means nothing. Missing numbers take the column's mean (``"mean"``, for linear models) or a value below all others
     (``"low"``, for trees).
     """
     stages, numbers, codes = [], [f"{c}_CODE" for c in numeric], [f"{c}_CODE" for c in categorical]
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep"))
-    if missing == "mean":
+        if one_hot:
+            hot = [f"{c}_HOT" for c in codes]
+            stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"))
+            codes = hot
+    if not numeric:
+        numbers = []
+    elif missing == "mean":
         stages.append(Imputer(inputCols=list(numeric), outputCols=numbers, strategy="mean"))
     else:
         known = [f"coalesce(CASE WHEN NOT isnan(`{c}`) THEN `{c}` END, {MISSING_LOW}) AS `{c}_CODE`" for c in numeric]
@@ -106,7 +132,10 @@ def fit_linear(df: DataFrame, label: str, predictors: Sequence[str], prediction:
         labelCol="__y",
     )
     line = LinearRegression(featuresCol="__x", labelCol="__y", predictionCol=prediction, solver="normal")
-    return Pipeline(stages=[formula, line]).fit(df.dropna(subset=[label, *predictors]))
+    known = df.dropna(subset=[label, *predictors])
+    texts = [c for c in predictors if known.schema[c].dataType.simpleString() == "string"]
+    check_categories(known, texts)
+    return Pipeline(stages=[formula, line]).fit(settle(known.select(label, *predictors)))
 
 
 def linear_summary(model: PipelineModel, fitted_on: DataFrame) -> DataFrame:
@@ -150,10 +179,11 @@ def glm_candidates(label: str, prediction: str = "prediction") -> dict[str, obje
 
 @dataclass
 class Leaderboard:
-    """Scores best first, and the fitted models by id."""
+    """Scores best first, the fitted models by id, and how to fit one of them on other rows."""
 
     table: DataFrame
     models: dict[str, PipelineModel]
+    refit: Callable[[str, DataFrame], PipelineModel]
 
     def best(self) -> tuple[str, PipelineModel]:
         model_id = self.table.first()["model_id"]
@@ -170,30 +200,43 @@ def fit_leaderboard(
 ) -> Leaderboard:
     """Fit every candidate on assembled features and rank by log error on the validation rows.
 
-    All candidates are scored in one pass over the validation rows.
+    Rows without a label are left out of the fits; in the scores they, and rows without a log error,
+    count as unscored. Independent fits run side by side, all candidates are scored in one pass.
     """
     shared_dir(train.sparkSession)
     linear = candidates is None
     candidates = glm_candidates(label) if linear else candidates
-    missing = "mean" if linear else "low"
-    stages = Pipeline(stages=feature_stages(numeric, categorical, missing)).fit(train)
-    ready = settle(stages.transform(train).select(label, "features"))
-    fitted = {}
-    for model_id, estimator in candidates.items():
-        fitted[model_id] = PipelineModel([*stages.stages, estimator.fit(ready)])
+    check_categories(train, categorical)
+    plan = feature_stages(numeric, categorical, "mean" if linear else "low", one_hot=linear)
+
+    def assembled(df: DataFrame):
+        known = df.where(F.col(label).isNotNull())
+        stages = Pipeline(stages=plan).fit(known)
+        return stages, settle(stages.transform(known).select(label, "features"))
+
+    stages, ready = assembled(train)
+
+    def refit(model_id: str, df: DataFrame) -> PipelineModel:
+        on, rows = assembled(df)
+        return PipelineModel([*on.stages, candidates[model_id].fit(rows)])
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        fits = list(pool.map(lambda e: e.fit(ready), candidates.values()))
+    fitted = {model_id: PipelineModel([*stages.stages, fit]) for model_id, fit in zip(candidates, fits)}
     scored = stages.transform(valid).select(label, "features")
     for i, model in enumerate(fitted.values()):
         scored = model.stages[-1].transform(scored).withColumnRenamed("prediction", f"p{i}")
-    errors = [
-        F.sqrt(F.avg(squared_log_error(F.col(label), F.greatest(F.col(f"p{i}"), F.lit(0.0))))).alias(f"p{i}")
-        for i in range(len(fitted))
-    ]
-    scores = scored.agg(*errors).first()
+    errors = [squared_log_error(F.col(label), F.greatest(F.col(f"p{i}"), F.lit(0.0))) for i in range(len(fitted))]
+    scores = scored.agg(
+        *[F.sqrt(F.avg(e)).alias(f"p{i}") for i, e in enumerate(errors)],
+        *[F.count_if(e.isNull()).alias(f"u{i}") for i, e in enumerate(errors)],
+    ).first()
     rows = [
-        (model_id, scores[f"p{i}"], _settings(candidates[model_id])) for i, model_id in enumerate(fitted)
+        (model_id, scores[f"p{i}"], scores[f"u{i}"], _settings(candidates[model_id]))
+        for i, model_id in enumerate(fitted)
     ]
-    table = train.sparkSession.createDataFrame(rows, "model_id string, rmsle double, params string")
-    return Leaderboard(table.orderBy(F.asc_nulls_last("rmsle"), "model_id"), fitted)
+    table = train.sparkSession.createDataFrame(rows, "model_id string, rmsle double, unscored bigint, params string")
+    return Leaderboard(table.orderBy(F.asc_nulls_last("rmsle"), "model_id"), fitted, refit)
 
 
 def _settings(estimator) -> str:
@@ -237,6 +280,7 @@ def fit_trees(
         trees.setValidationIndicatorCol(valid)
         columns.append(valid)
     known = df.where(F.col(label).isNotNull())
+    check_categories(known, categorical)
     stages = Pipeline(stages=feature_stages(numeric, categorical)).fit(known)
     # every boosting round reads the assembled rows
     ready = settle(stages.transform(known).select(*columns))
@@ -269,7 +313,7 @@ class ResidualStack:
 
 def _without_features(df: DataFrame) -> DataFrame:
     """Drop the columns a fitted model adds on its way to a prediction."""
-    return df.drop(*[c for c in df.columns if c in ("features", "__x", "__y") or c.endswith("_CODE")])
+    return df.drop(*[c for c in df.columns if c in ("features", "__x", "__y") or c.endswith(("_CODE", "_CODE_HOT"))])
 
 
 def fit_residual_stack(
@@ -291,11 +335,15 @@ def fit_residual_stack(
 def tree_candidates(label: str, grid: Sequence[Mapping]) -> dict[str, object]:
     """One tree estimator per grid point, for ``fit_leaderboard``."""
     return {
-        ", ".join(f"{k}={v}" for k, v in point.items()): tree_estimator(label, "prediction", **point)
+        point_name(point): tree_estimator(label, "prediction", **point)
         for point in grid
     }
 
 
+def point_name(point: Mapping) -> str:
+    return ", ".join(f"{k}={v}" for k, v in point.items())
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

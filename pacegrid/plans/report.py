@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.operators.stats import histogram_by_group, rmsle_by_group, trend_line
+from pacegrid.operators.stats import histogram_by_group, squared_log_error
 
 
 def evaluation_report(log: DataFrame, actual: str, predicted: str, group: str = "model") -> DataFrame:
-    """Per model: log error, and the trend of the residual over the fitted value."""
-    scores = rmsle_by_group(log, [group], actual, predicted)
-    residuals = log.withColumn("__residual", F.col(actual) - F.col(predicted))
-    trends = trend_line(residuals, [group], "__residual", predicted)
-    bias = residuals.groupBy(group).agg(F.avg("__residual").alias("mean_residual"))
-    return scores.join(trends, group).join(bias, group)
+    """Per model: log error, and the trend of the residual over the fitted value, in one pass."""
+    residual, fitted = F.col(actual) - F.col(predicted), F.col(predicted)
+    error = squared_log_error(F.col(actual), fitted)
+    return log.groupBy(group).agg(
+        F.sqrt(F.avg(error)).alias("rmsle"),
+        F.count(error).alias("scored"),
+        F.count_if(error.isNull()).alias("unscored"),
+        F.regr_slope(residual, fitted).alias("slope"),
+        F.regr_intercept(residual, fitted).alias("intercept"),
+        F.regr_r2(residual, fitted).alias("r2"),
+        F.avg(residual).alias("mean_residual"),
+    )
 
 
 def residuals(log: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -83,6 +83,6 @@ def weather_on_grid(grid: DataFrame, clean: DataFrame, sequence: Sequence[str] =
     return filled.withColumns({"TIME_UTC_SECONDS": seconds, "T_SEC": F.col("T_IDX") * 60})
 
 
-def minute_weather(weather: DataFrame, index_by: str = "date") -> DataFrame:
-    """From raw feed to the filled minute series."""
-    return weather_on_grid(minute_grid(weather, index_by), clean_weather(weather))
+def minute_weather(weather: DataFrame, index_by: str = "date", sequence: Sequence[str] = ()) -> DataFrame:
+    """From raw feed to the filled minute series; ``sequence`` orders readings of one minute and second."""
+    return weather_on_grid(minute_grid(weather, index_by), clean_weather(weather), sequence)

@@ -21,6 +21,12 @@ def select_matching(t):
     return df.select("l_orderkey", *matching)
 
 
+@query("select_except", "SELECT * EXCLUDE (o_orderdate, o_totalprice) FROM orders")
+def select_except(t):
+    df = t.orders
+    return df.select(C.names_except(df, ["o_orderdate"], ["o_totalprice", "absent"]))
+
+
 @query(
     "filter_range",
     """

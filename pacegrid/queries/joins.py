@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from pacegrid.functions.clock import minute_bucket
-from pacegrid.functions.numbers import rounded
 from pacegrid.operators import joins as J
 from pacegrid.operators import sets as S
 from pacegrid.operators.ordered import Ordered
+from pacegrid.operators.reshape import session_starts
 from pacegrid.operators.skew import large_groups
 from pacegrid.queries.base import clock_text, query
 from pacegrid.queries.windows import GRID_SQL, event_grid
@@ -73,22 +73,27 @@ def multi_key_inner_join(t):
       SELECT *, CAST(sum(CAST(round(value) AS BIGINT))
                      OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS seconds
       FROM events),
-    bucketed AS (SELECT event_id, event_type, CAST(ceil(seconds / 60.0) AS INTEGER) AS running_minute FROM moments)
-    SELECT b.event_id, b.event_type, b.running_minute, strftime(i.moment, '%Y-%m-%d %H:%M:%S') AS moment
+    bucketed AS (
+      SELECT event_id, m.event_type, CAST(n.row_n AS INTEGER) AS row_n,
+             CAST(ceil(seconds / 60.0) AS INTEGER) AS running_minute
+      FROM moments m JOIN numbered n ON n.event_type = m.event_type AND n.d = CAST(m.ts AS DATE))
+    SELECT b.event_id, b.event_type, b.row_n, b.running_minute, strftime(i.moment, '%Y-%m-%d %H:%M:%S') AS moment
     FROM bucketed b LEFT JOIN indexed i
-      ON i.event_type = b.event_type AND i.t_idx = b.running_minute AND i.row_n = 1
+      ON i.event_type = b.event_type AND i.t_idx = b.running_minute AND i.row_n = b.row_n
      AND i.moment_day = i.d
     """,
 )
 def time_bucket_join(t):
     df = t.events.select("event_id", "event_type", "user_id", "ts", F.round("value").cast("bigint").alias("step"))
     df = Ordered(df, ["user_id", "event_type"], ["ts", "event_id"]).running_total("step", "seconds").frame
-    moments = df.select("event_id", "event_type", minute_bucket(F.col("seconds")).alias("running_minute"))
-    first = event_grid(t).where((F.col("ROW_N") == 1) & (F.col("DATE") == F.col("d")))
-    joined = J.time_bucket_join(
-        moments, first.select("event_type", "T_IDX", "moment"), ["event_type"], ("running_minute", "T_IDX")
-    )
-    return joined.withColumn("moment", clock_text(F.col("moment")))
+    minute = minute_bucket(F.col("seconds")).alias("running_minute")
+    moments = df.select("event_id", "event_type", F.to_date("ts").alias("d"), minute)
+    days = t.events.select("event_type", F.to_date("ts").alias("d"), "ts")
+    sessions = session_starts(days, ["event_type"], "d", "ts").select("event_type", "d", "ROW_N")
+    moments = J.lookup_join(moments, sessions, ["event_type", "d"]).drop("d")
+    grid = event_grid(t).where(F.col("DATE") == F.col("d")).select("event_type", "ROW_N", "T_IDX", "moment")
+    joined = J.time_bucket_join(moments, grid, ["event_type", "ROW_N"], ("running_minute", "T_IDX"))
+    return joined.withColumnRenamed("ROW_N", "row_n").withColumn("moment", clock_text(F.col("moment")))
 
 
 @query(
@@ -116,14 +121,14 @@ def align_by_ordinal(t):
     SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price, o_orderpriority AS priority FROM orders
     WHERE o_orderstatus = 'F'
     UNION ALL BY NAME
-    SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price, o_custkey FROM orders WHERE o_orderstatus = 'O'
+    SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price, o_custkey FROM orders WHERE o_orderstatus <> 'F'
     """,
 )
 def union_by_name(t):
     closed = t.orders.where(F.col("o_orderstatus") == "F").select(
         "o_orderkey", F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderpriority").alias("priority")
     )
-    running = t.orders.where(F.col("o_orderstatus") == "O").select(
+    running = t.orders.where(F.col("o_orderstatus") != "F").select(
         F.col("o_orderkey").alias("order_no"), F.col("o_totalprice").alias("price"), "o_custkey"
     )
     running = running.withColumnRenamed("order_no", "o_orderkey").withColumn("price", F.col("price").cast("string"))
@@ -133,23 +138,15 @@ def union_by_name(t):
 @query(
     "tagged_union",
     """
-    WITH both_feeds AS (
-      SELECT o_orderkey, o_totalprice, 'TRAIN' AS tr FROM orders WHERE o_orderstatus = 'F'
-      UNION ALL SELECT o_orderkey, o_totalprice, 'TEST' FROM orders WHERE o_orderstatus = 'O')
-    SELECT tr, count(*) AS n, round(min(o_totalprice), 2) AS low, round(max(o_totalprice), 2) AS high
-    FROM both_feeds GROUP BY tr
+    SELECT o_orderkey, o_totalprice, o_orderstatus, 'TRAIN' AS tr FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT o_orderkey, o_totalprice, o_orderstatus, 'TEST' FROM orders WHERE o_orderstatus <> 'F'
     """,
 )
 def tagged_union(t):
     df = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    feeds = {"TRAIN": df.where(F.col("o_orderstatus") == "F"), "TEST": df.where(F.col("o_orderstatus") == "O")}
+    feeds = {"TRAIN": df.where(F.col("o_orderstatus") == "F"), "TEST": df.where(F.col("o_orderstatus") != "F")}
     both = S.tagged_union(feeds, "tr")
-    parts = [S.of_tag(both, "tr", name).groupBy("tr").agg(
-        F.count(F.lit(1)).alias("n"),
-        rounded(F.min("o_totalprice"), 2).alias("low"),
-        rounded(F.max("o_totalprice"), 2).alias("high"),
-    ) for name in feeds]
-    return S.union_by_name(*parts)
+    return S.union_by_name(*[S.of_tag(both, "tr", name) for name in feeds])
 
 
 @query(

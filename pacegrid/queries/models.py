@@ -2,7 +2,6 @@
 
 from uuid import uuid4
 
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +16,15 @@ from pacegrid.sources.files import read_csv, write_csv
 LABEL = "l_extendedprice"
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
 CATEGORICAL = ["l_returnflag", "l_linestatus"]
+#: The published 3 x 3 x 4 search with fewer and smaller trees.
+SEARCH_SHAPE = M.parameter_grid(maxIter=(2, 3, 5), maxDepth=(2, 3, 4), stepSize=M.SEARCH_GRID["stepSize"])
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 @query(
     "csv_roundtrip",
     """
-    SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
+    SELECT o_orderkey, o_orderstatus, '"' || o_orderstatus || '", or "' || o_orderpriority || '"' AS note, nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
            CASE WHEN o_totalprice >= 20000 THEN o_totalprice END AS o_totalprice
     FROM orders
     """,
@@ -32,6 +33,7 @@ def csv_roundtrip(t):
     df = t.orders.select(
         "o_orderkey",
         "o_orderstatus",
+        F.concat(F.lit('"'), "o_orderstatus", F.lit('", or "'), "o_orderpriority", F.lit('"')).alias("note"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice")).alias("o_totalprice"),
     )
@@ -95,27 +97,26 @@ def glm_leaderboard(t):
 def gbt_fit_predict(t):
     _, valid, df = parts(t)
     marked = df.withColumn("held_out", F.col("part") == "valid")
-    model = M.fit_trees(marked, LABEL, NUMERIC, CATEGORICAL, maxIter=8, maxDepth=4, stepSize=0.3, valid="held_out")
+    model = M.fit_trees(marked, LABEL, NUMERIC, CATEGORICAL, maxIter=20, maxDepth=6, stepSize=0.3, valid="held_out")
     return model.transform(valid).select(*KEY, LABEL, "predict")
 
 
 @query("feature_importance")
 def feature_importance(t):
     train, _, _ = parts(t)
-    model = M.fit_trees(train, LABEL, NUMERIC, CATEGORICAL, maxIter=5, maxDepth=4, stepSize=0.3)
+    model = M.fit_trees(train, LABEL, NUMERIC, CATEGORICAL, maxIter=20, maxDepth=6, stepSize=0.3)
     return M.feature_importance(model, train)
 
 
 def _line(train):
-    stages = M.feature_stages(["l_quantity"], ["l_linestatus"])
-    return M.Pipeline(stages=[*stages, LinearRegression(labelCol=LABEL, predictionCol="predict")]).fit(train)
+    return M.fit_linear(train, LABEL, ["l_quantity", "l_linestatus"])
 
 
 @query("residual_stack")
 def residual_stack(t):
     train, valid, _ = parts(t)
     stack = M.fit_residual_stack(
-        train, LABEL, _line(train), ["l_discount", "l_tax"], ["l_returnflag"], maxIter=5, maxDepth=3, stepSize=0.3
+        train, LABEL, _line(train), ["l_discount", "l_tax"], ["l_returnflag"], maxIter=20, maxDepth=6, stepSize=0.03
     )
     scored = stack.transform(valid)
     return scored.select(*KEY, LABEL, "predict", "residual_predict", "stacked_predict")
@@ -124,13 +125,76 @@ def residual_stack(t):
 @query("grid_search_scores")
 def grid_search_scores(t):
     train, valid, _ = parts(t)
-    grid = M.parameter_grid(maxIter=(3, 6), maxDepth=(2, 4), stepSize=(0.1, 0.3))
-    return M.fit_leaderboard(train, valid, LABEL, NUMERIC, CATEGORICAL, M.tree_candidates(LABEL, grid)).table
+    return M.fit_leaderboard(train, valid, LABEL, NUMERIC, CATEGORICAL, M.tree_candidates(LABEL, SEARCH_SHAPE)).table
 
 
-@query("model_save_load")
+PARTS_SQL = """
+    WITH p AS (
+      SELECT *, CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8)) AS BIGINT)
+                % 100 < 80 AS fitted
+      FROM lineitem),
+    line AS (
+      SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
+      FROM p WHERE fitted)
+"""
+KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@query(
+    "model_save_load",
+    f"""{PARTS_SQL}
+    SELECT {KEY_SQL}, l_extendedprice, round(a * l_quantity + b, 3) AS predict FROM p, line WHERE NOT fitted
+    """,
+)
 def model_save_load(t):
     train, valid, _ = parts(t)
     path = f"{shared_dir(t.spark)}/model-{uuid4().hex}"
-    M.save_model(_line(train), path)
-    return M.load_model(path).transform(valid).select(*KEY, LABEL, "predict")
+    M.save_model(M.fit_linear(train, LABEL, ["l_quantity"]), path)
+    return M.load_model(path).transform(valid).select(*KEY, LABEL, rounded(F.col("predict"), 3).alias("predict"))
+
+
+@query(
+    "ols_check",
+    "SELECT unnest(['one', 'l_quantity', 'l_discount', 'l_tax', 'flag_N', 'flag_R']) AS term, CAST(0 AS DOUBLE) AS moment",
+)
+def ols_check(t):
+    """The residuals of the full line stand at right angles to every predictor."""
+    df = t.lineitem.select(LABEL, *NUMERIC, "l_returnflag")
+    left = F.col(LABEL) - F.col("predict")
+    sides = {"one": F.lit(1.0)} | {c: F.col(c) for c in NUMERIC}
+    sides |= {f"flag_{v}": (F.col("l_returnflag") == v).cast("double") for v in "NR"}
+    scored = M.fit_linear(df, LABEL, [*NUMERIC, "l_returnflag"]).transform(df)
+    moments = scored.agg(*[(F.abs(F.sum(left * x)) / F.sum(F.abs(F.col(LABEL) * x))).alias(n) for n, x in sides.items()])
+    table = moments.unpivot([], list(sides), "term", "moment")
+    return table.withColumn("moment", rounded(F.col("moment"), 8))
+
+
+@query(
+    "tree_group_means",
+    f"""{PARTS_SQL}, means AS (
+      SELECT l_linestatus, avg(l_extendedprice) AS m FROM p WHERE fitted GROUP BY 1)
+    SELECT {KEY_SQL}, round(m, 3) AS predict FROM p JOIN means USING (l_linestatus) WHERE NOT fitted
+    """,
+)
+def tree_group_means(t):
+    """One round of depth 1 on a category of two values: its leaves are the group means."""
+    train, valid, _ = parts(t)
+    model = M.fit_trees(train, LABEL, [], ["l_linestatus"], maxIter=1, maxDepth=1)
+    return model.transform(valid).select(*KEY, rounded(F.col("predict"), 3).alias("predict"))
+
+
+@query(
+    "stack_group_means",
+    f"""{PARTS_SQL}, means AS (
+      SELECT l_linestatus, avg(l_extendedprice - a * l_quantity - b) AS m FROM p, line WHERE fitted GROUP BY 1)
+    SELECT {KEY_SQL}, round(a * l_quantity + b, 3) AS predict, round(m, 3) AS residual_predict
+    FROM p JOIN means USING (l_linestatus), line WHERE NOT fitted
+    """,
+)
+def stack_group_means(t):
+    """A line on one predictor, and one round of depth 1 on what it leaves over."""
+    train, valid, _ = parts(t)
+    line = M.fit_linear(train, LABEL, ["l_quantity"])
+    stack = M.fit_residual_stack(train, LABEL, line, [], ["l_linestatus"], maxIter=1, maxDepth=1)
+    scored = stack.transform(valid)
+    return scored.select(*KEY, *[rounded(F.col(c), 3).alias(c) for c in ("predict", "residual_predict")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pacegrid.functions.numbers import rounded
 from pacegrid.operators import stats as A
 from pacegrid.plans.models import hash_split, parameter_grid
+from pacegrid.plans.report import residuals
 from pacegrid.queries.base import day_text, query
 
 
@@ -84,7 +85,7 @@ def closed_form(t):
     """Actual price and a prediction by a fixed formula, so that SQL can say the same."""
     fitted = 1000 * F.col("l_quantity") * (1 + F.col("l_tax"))
     return t.lineitem.select(
-        "l_orderkey", "l_returnflag", "l_shipdate", F.col("l_extendedprice").alias("actual"), fitted.alias("fitted")
+        "l_orderkey", "l_quantity", "l_returnflag", "l_shipdate", F.col("l_extendedprice").alias("actual"), fitted.alias("fitted")
     )
 
 
@@ -131,13 +132,9 @@ def trend_line(t):
     """,
 )
 def residual_table(t):
-    df = closed_form(t)
-    return df.select(
-        "l_orderkey",
-        "actual",
-        rounded(F.col("fitted"), 4).alias("fitted"),
-        rounded(F.col("actual") - F.col("fitted"), 4).alias("residual"),
-    )
+    df = residuals(closed_form(t).withColumnRenamed("fitted", "predict"), "actual", "predict")
+    digits = [rounded(F.col(c), 4).alias(c) for c in ("fitted", "residual")]
+    return df.select("l_orderkey", "actual", *digits)
 
 
 @query(
@@ -195,17 +192,11 @@ MODELS_SQL = f"""
 
 
 def prediction_log_of(t):
-    from pacegrid.plans.models import prediction_log
-
+    """Each line with the prediction of three formulas, from one scan."""
     df = closed_form(t)
-    plain = t.lineitem.select("l_orderkey", F.col("l_extendedprice").alias("actual"), "l_quantity")
-    return prediction_log(
-        {
-            "formula": df.select("l_orderkey", "actual", F.col("fitted").alias("predict")),
-            "by quantity": plain.select("l_orderkey", "actual", (1000 * F.col("l_quantity")).alias("predict")),
-            "constant": plain.select("l_orderkey", "actual", F.lit(25000.0).alias("predict")),
-        }
-    )
+    named = {"formula": F.col("fitted"), "by quantity": 1000 * F.col("l_quantity"), "constant": F.lit(25000.0)}
+    logged = F.array(*[F.struct(F.lit(m).alias("model"), p.cast("double").alias("predict")) for m, p in named.items()])
+    return df.select("l_orderkey", "actual", F.inline(logged))
 
 
 @query(

@@ -1,11 +1,11 @@
 """Ordinals, shifts, running totals, fills and imputation over ordered groups."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pacegrid.functions.numbers import rounded
 from pacegrid.operators.ordered import Ordered
 from pacegrid.operators.reshape import minute_grid as grid_of
+from pacegrid.operators.reshape import session_starts
 from pacegrid.operators.stats import zscore
 from pacegrid.queries.base import clock_text, day_text, query
 
@@ -24,10 +24,8 @@ LINE_ORDER = ["l_partkey", "l_suppkey", "l_shipdate"]
     """,
 )
 def session_ordinal(t):
-    days = t.events.select("event_type", F.to_date("ts").alias("d")).distinct()
-    # one row per calendar day in a group
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("d"))
-    return days.select("event_type", day_text(F.col("d")).alias("day"), number.alias("session_no"))
+    days = session_starts(t.events.withColumn("d", F.to_date("ts")), ["event_type"], "d", "ts")
+    return days.select("event_type", day_text(F.col("d")).alias("day"), F.col("ROW_N").alias("session_no"))
 
 
 @query(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +17,33 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "pacegrid")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("settled copies of the scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope for intermediate tables: those settled in it are deleted at its end.
+
+    Results that read them have to be written or counted within it.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get()
+        _SCOPE.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def use_utc(spark: SparkSession) -> None:
     """Clock text is UTC throughout, so parsing and printing must agree on it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -30,11 +52,13 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read and write.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without that setting
-    (a local test) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets a
+    folder of its own; anywhere else executors would each write to their own disk, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pacegrid-")
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -46,9 +70,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute an intermediate table once: write it to the shared folder and read it back.
 
     Later passes read only the columns they need, and a lost executor costs a re-read instead of the
-    whole lineage. The folder's owner clears it.
+    whole lineage. Within ``scratch`` the copy goes when the scope ends, else the folder's owner clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid4().hex}"
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

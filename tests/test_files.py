@@ -1,5 +1,6 @@
 """CSV sources and sinks, and small reshaping properties."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,23 @@ def test_csv_missing_values_and_order(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in rows] == [("x", 1), (None, 2), (None, None), ("z", None)]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "feed.csv"
+    path.write_text('b,extra,a\n2,x,"say ""hi"", ok"\n,y,"two\tcells, one"\n')
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType())])
+    rows = read_csv(spark, str(path), schema).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [('say "hi", ok', 2), ("two\tcells, one", None)]
+    with pytest.raises(ValueError, match="has no column c"):
+        read_csv(spark, str(path), schema.add("c", T.IntegerType()))
+
+
+def test_csv_quotes_come_back(spark, tmp_path):
+    df = spark.createDataFrame([('say "hi", ok', 1), ("plain", 2), ("a\\b", 3)], "a string, b int")
+    write_csv(df, str(tmp_path / "out"))
+    assert '""hi""' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert sorted(read_csv(spark, str(tmp_path / "out"), df.schema).collect()) == sorted(df.collect())
+
+
 def test_single_file(spark, tmp_path):
     write_csv(spark.range(10).repartition(4), str(tmp_path / "out"), single=True)
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1

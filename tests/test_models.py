@@ -80,14 +80,36 @@ def test_missing_and_unseen_values(spark, table):
     assert trees.transform(other).first()["predict"] is not None
 
 
-def test_wide_categories_become_means(spark, table):
-    few, many = M.split_categories(table, ["kind", "id"], most=50)
-    assert (few, many) == (["kind"], ["id"])
-    train = table.where("kind = 'a'")
-    (encoded,) = M.encode_wide_categories(train, [table], ["kind"], "y", smoothing=0.0)
-    means = {r["kind"]: r["kind_MEAN"] for r in encoded.select("kind", "kind_MEAN").distinct().collect()}
-    overall = train.agg(F.avg("y")).first()[0]
-    assert means["a"] == pytest.approx(overall) and means["b"] == pytest.approx(overall)
+def test_indexed_categories_are_few(spark, table):
+    with pytest.raises(ValueError, match="more than"):
+        M.fit_trees(table.withColumn("name", F.col("id").cast("string")), "y", ["x"], ["name"], maxIter=1)
+
+
+def test_codes_of_noise_say_nothing_about_held_out_rows(spark):
+    """500 categories of 4 rows whose label is chance: no fold's code may know the label."""
+    n = F.col("id")
+    noise = (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("y")
+    df = spark.range(2000).select("id", F.concat(F.lit("c"), n % 500).alias("c"), noise)
+    df = M.hash_split(df, ["id"], 0.8, "part")
+    coded = M.target_folds(df, "c", "y", "code", F.col("part") == "train", ["id"]).cache()
+    for part in ("train", "valid"):
+        assert abs(coded.where(F.col("part") == part).agg(F.corr("code", "y")).first()[0]) < 0.12
+    assert coded.count() == 2000 and coded.where("code IS NULL").isEmpty()
+
+
+def test_target_codes(spark):
+    rows = [(1, "a", 1.0, True), (2, "a", 3.0, True), (3, "a", None, True), (4, "b", 9.0, False), (5, "a", 7.0, False), (6, None, 5.0, True)]
+    df = spark.createDataFrame(rows, "id int, c string, y double, fit boolean")
+    got = {r["id"]: r["code"] for r in M.target_folds(df, "c", "y", "code", F.col("fit"), ["id"], smoothing=0.0, folds=1000).collect()}
+    assert got[1] == pytest.approx(3) and got[2] == pytest.approx(1)
+    assert got[5] == got[3] == pytest.approx(2) and got[4] == pytest.approx(3) and got[6] == pytest.approx(3)
+
+
+def test_unlabelled_rows_change_no_model(spark, table):
+    more = table.unionByName(table.limit(20).withColumn("y", F.lit(None).cast("double")))
+    few = {n: c for n, c in M.glm_candidates("y").items() if n == "gaussian_identity_0.0"}
+    scores = [M.fit_leaderboard(df, more, "y", ["x"], ["kind"], few).table.first() for df in (table, more)]
+    assert scores[0]["rmsle"] == pytest.approx(scores[1]["rmsle"]) and scores[0]["unscored"] >= 20
 
 
 def test_save_and_load(spark, table, tmp_path):
