@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacegrid.llm.tables import WHITE, ids_repeat, parts
+from pacegrid.llm.tables import WHITE, ids_repeat, parts, whole
 from pacegrid.session import settle
 
 FAN = 16
@@ -78,15 +78,17 @@ def group_exact(docs: DataFrame, settled: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = group_exact(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__own", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    if not ids_repeat(docs):
-        return rows.drop("__own")
-    # one id with several equal texts: the longest of them once
-    longest = Window.partitionBy("doc_id", "__own").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text")
-    return rows.withColumn("__place", F.row_number().over(longest)).where("__place = 1").drop("__own", "__place")
+    """The rows of ``docs`` that stay, with all their columns; a repeated row once."""
+    kept = group_exact(docs).where("kept").select("keep_id", "text_sha256")
+    own = F.sha2(F.encode(normalised(F.col("row.text")), "UTF-8"), 256)
+    rows = whole(docs).withColumn("own", own)
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("text_sha256")), "left_semi")
+    if ids_repeat(docs):
+        # one id with several equal texts: the longest of them once
+        text = F.coalesce("row.text", F.lit(""))
+        longest = Window.partitionBy("row.doc_id", "own").orderBy(F.char_length(text).desc(), text)
+        rows = rows.withColumn("place", F.row_number().over(longest)).where("place = 1")
+    return rows.select("row.*")
 
 
 SQL = r"""

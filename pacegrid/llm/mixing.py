@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacegrid.llm.tables import WHITE, ids_repeat, parts
+from pacegrid.llm.tables import WHITE, ids_repeat, parts, whole
 from pacegrid.operators.ordered import global_ordinal
 from pacegrid.session import settle
 
@@ -87,24 +87,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat an id are told apart by their size; equal ones share what is taken evenly enough
     that the sums stand. ``n_chars`` follows a cut text where there is such a column.
     """
-    names = docs.columns
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken")
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    taken = mix(docs, **options).select("doc_id", "size", "taken")
+    rows = whole(docs)
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
     if ids_repeat(docs):
-        taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.desc("taken"))))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("text"))
-        docs = docs.withColumn("__own", n_words(F.col("text"))).withColumn("__n", nth)
-        same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")) & (F.col("__n") == F.col("__nth"))
-    rows = docs.join(taken.where("taken > 0"), same)
-    pass_ = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("__size")))).alias("__pass")
-    rows = rows.select("*", pass_)
-    words = F.least(F.col("__size"), F.col("taken") - (F.col("__pass") - 1) * F.col("__size"))
-    runs = F.regexp_extract_all("text", F.lit(f"[^{WHITE}]+[{WHITE}]*"), F.lit(0))
-    cut = F.when(words == F.col("__size"), F.col("text")).otherwise(F.rtrim(F.array_join(F.slice(runs, F.lit(1), words.cast("int")), "")))
-    rows = rows.withColumn("text", cut)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("taken"))))
+        rows = rows.withColumn("own", n_words(F.col("row.text")))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("row.doc_id", "own").orderBy("row.text")))
+        same = same & (F.col("own") == F.col("size")) & (F.col("n") == F.col("nth"))
+    rows = rows.join(taken.where("taken > 0"), same)
+    passes = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))
+    rows = rows.select("row", "size", "taken", F.explode(passes).alias("pass"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))
+    runs = F.regexp_extract_all("row.text", F.lit(f"[^{WHITE}]+[{WHITE}]*"), F.lit(0))
+    cut = F.rtrim(F.array_join(F.slice(runs, F.lit(1), words.cast("int")), ""))
+    rows = rows.select("row.*", F.when(words < F.col("size"), cut).alias("__cut"))
+    changed = {"text": F.coalesce("__cut", "text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.coalesce(F.char_length("__cut").cast(kind), F.col("n_chars"))
+    return rows.withColumns(changed).select(*docs.columns)
 
 
 SQL = r"""

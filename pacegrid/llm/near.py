@@ -16,12 +16,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacegrid.llm.memo import Memo
-from pacegrid.llm.tables import attach_group, ids_repeat
+from pacegrid.llm.tables import attach_group, ids_repeat, whole
 from pacegrid.session import settle
 
 WORDS, THRESHOLD = 5, 0.8
@@ -325,7 +325,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their class, with all their columns; a repeated row once."""
     _, placed = _grouped(docs, threshold)
-    heads = placed.select(F.col("head.doc_id").alias("__id"), F.col("head.mark").alias("__mark")).distinct()
-    rows = docs.withColumn("__own", _mark())
-    rows = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "__own"]) if ids_repeat(docs) else rows).drop("__own")
+    heads = placed.select(F.col("head.doc_id").alias("id"), F.col("head.mark").alias("mark")).distinct()
+    rows = whole(docs).withColumn("own", F.xxhash64("row.text"))
+    rows = rows.join(heads, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark")), "left_semi")
+    if ids_repeat(docs):
+        again = Window.partitionBy("row.doc_id", "own").orderBy(F.lit(0))
+        rows = rows.withColumn("place", F.row_number().over(again)).where("place = 1")
+    return rows.select("row.*")

@@ -145,8 +145,10 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, tries: i
 def pack(rows: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``size``.
 
-    All other columns pass through. Equal rows are packed like any others; no rows give no sequences.
+    All other columns pass through, but for ones of these two names, which are replaced. Equal rows
+    are packed like any others; no rows give no sequences.
     """
+    rows = rows.drop("sequence_id", "offset")
     settled = settle(rows.withColumn("__deal", F.xxhash64(F.monotonically_increasing_id())))
     shards = max(1, settled.count() // shard)
     dealt = settled.withColumn("__deal", F.pmod("__deal", F.lit(shards)))

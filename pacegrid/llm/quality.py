@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacegrid.llm.labelled import held_out, sample
+from pacegrid.llm.tables import whole
 
 BUCKETS, WIDTH, SPARSE, WINDOW = 1 << 15, 48, 6, 2
 #: A word met less often than this in the sample has no vector: its neighbours are chance.
@@ -230,4 +231,4 @@ def quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataF
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     score = scorer(fit(docs, labels), docs.sparkSession)
-    return docs.withColumn("__score", score("text")).where(F.col("__score") >= accept).drop("__score")
+    return whole(docs).withColumn("score", score("row.text")).where(F.col("score") >= accept).select("row.*")

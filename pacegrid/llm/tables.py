@@ -40,6 +40,11 @@ def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, row_ke
     return rows.join(groups, [key, "__salt"]).drop("__salt")
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as the one column ``row``, so that no column of the caller meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def ids_repeat(docs: DataFrame) -> bool:
     """Whether an id stands on several rows, which then have to be told apart by more than the id."""
     return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

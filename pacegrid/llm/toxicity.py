@@ -118,7 +118,9 @@ def learn_lexicon(rows: DataFrame) -> dict[int, dict[str, float]]:
                 times: Counter[str] = Counter()
                 for text in some["text"]:
                     times.update({e for t in set((text or "").split()) for e in entries(t)})
-                yield pd.DataFrame({"entry": list(times), "y": int(y), "fold": int(fold), "n": list(times.values())}, columns=["entry", "y", "fold", "n"])
+                if times:
+                    found = pd.Series(list(times), dtype=object)
+                    yield pd.DataFrame({"entry": found, "y": int(y), "fold": int(fold), "n": list(times.values())})
 
     totals = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = [sum(n for (y, _), n in totals.items() if y == side) for side in (0, 1)]
