@@ -13,6 +13,7 @@ from pacegrid.operators.joins import grid_join
 from pacegrid.operators.ordered import Ordered
 from pacegrid.operators.sets import union_by_name
 from pacegrid.operators.stats import session_bounds
+from pacegrid.session import settle
 
 PLACE = ["EVENT", "LOCATION"]
 MEASURES = ["AIR_TEMP", "TRACK_TEMP", "HUMIDITY", "PRESSURE_2", "WIND_SPEED", "WIND_DIRECTION", "RAIN"]
@@ -71,7 +72,8 @@ def weather_on_grid(grid: DataFrame, clean: DataFrame, sequence: Sequence[str] =
 
     Readings sharing a minute all stay; ``sequence`` then names what orders them.
     """
-    joined = grid_join(grid, clean, [*PLACE, "TIME_UTC_STR"])
+    # read for the group sizes and for the windows
+    joined = settle(grid_join(grid, clean, [*PLACE, "TIME_UTC_STR"]))
     order = ["ROW_N", "TIME_UTC_STR", "TIME_UTC_SECONDS", *sequence]
     filled = (
         Ordered(joined, PLACE, order)

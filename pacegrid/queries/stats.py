@@ -273,8 +273,10 @@ def position_timeline(t):
 
     car, lap = ["l_orderkey"], ["l_orderkey", "l_linenumber"]
     df = t.lineitem.select(*lap, *LINE_ORDER, F.col("l_quantity").cast("bigint").alias("lap_seconds"))
-    df = Ordered(df, lap, LINE_ORDER).number("row_n").frame
-    df = Ordered(df, car, ["row_n", "l_linenumber"]).running_total("lap_seconds", "elapsed").frame
+    # one look at the cars serves their laps as well
+    found = Ordered(df, car, LINE_ORDER)
+    numbered = found.refine(lap, LINE_ORDER).number("row_n").frame
+    df = found.refine(car, ["row_n", "l_linenumber"], numbered).running_total("lap_seconds", "elapsed").frame
     field = ["l_suppkey", "row_n", "l_linenumber"]
     ranked = A.position(df, field, "elapsed", "position")
     return ranked.select(*lap, "row_n", "elapsed", "position")
