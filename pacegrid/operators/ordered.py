@@ -13,7 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacegrid.operators.skew import PIECE, Groups, plan_groups, same_keys
+from pacegrid.operators.skew import PIECE, Groups, limits, plan_groups, same_keys
+
+#: Rows near cuts are broadcast up to this number.
+BROADCAST_ROWS = 100_000
 
 
 class Ordered:
@@ -125,7 +128,9 @@ class Ordered:
         on = (df[PIECE] == near["__k_piece"]) & (df["__pos"] == near["__k_pos"])
         if self.keys:
             on = on & same_keys(df, near, self.keys, "__k_")
-        df = df.join(F.broadcast(near), on, "left")
+        # at most 2 * reach rows for each of 2 * parts pieces
+        bounded = 4 * reach * limits(df)[1] <= BROADCAST_ROWS
+        df = df.join(F.broadcast(near) if bounded else near, on, "left")
         for o, (_, n) in outs.items():
             at_cut = (F.col("__pos") <= n) if n > 0 else (F.col("__rest") < -n)
             crossed = (F.col(PIECE) > 0) & at_cut
@@ -165,22 +170,19 @@ class Ordered:
 
     def impute_mean(self, columns: Sequence[str]) -> Ordered:
         """Replace nulls by the mean of the group's known values."""
-        df, new = self._df, {}
         if self.groups.split:
-            sums = {f"__s{i}": F.sum(F.col(c).cast("double")) for i, c in enumerate(columns)}
-            counts = {f"__c{i}": F.count(c) for i, c in enumerate(columns)}
-            means = {
-                f"__mean{i}": F.try_divide(
-                    F.sum(f"__s{i}").over(self._all_pieces()), F.sum(f"__c{i}").over(self._all_pieces())
-                )
-                for i in range(len(columns))
-            }
-            df = self._join_carry(self._carry(sums | counts, means))
-        for i, c in enumerate(columns):
-            local = F.avg(c).over(self._whole())
-            mean = F.coalesce(F.col(f"__mean{i}"), local) if self.groups.split else local
-            new[c] = F.coalesce(F.col(c).cast("double"), mean)
-        filled = df.withColumns(new)
+            # a mean needs no order: rows of one order value cannot be cut, but their sums can
+            from pacegrid.operators.joins import salted_join
+
+            means = self._df.groupBy(*self.keys).agg(
+                *[F.avg(F.col(c).cast("double")).alias(f"__mean{i}") for i, c in enumerate(columns)]
+            )
+            df = salted_join(self._df, means, self.keys)
+            mean = {c: F.col(f"__mean{i}") for i, c in enumerate(columns)}
+        else:
+            df = self._df
+            mean = {c: F.avg(c).over(self._whole()) for c in columns}
+        filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), mean[c]) for c in columns})
         return self._with(filled.drop(*[f"__mean{i}" for i in range(len(columns))]))
 
 

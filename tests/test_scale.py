@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pacegrid.operators import joins, skew, stats
+from pacegrid.operators import joins, ordered, skew, stats
+from pacegrid.operators.ordered import Ordered
 from pacegrid.plans import weather
 from pacegrid.session import scratch, settle, shared_dir
 
@@ -30,6 +31,21 @@ def test_missing_times_rank_last_both_ways(spark, splitting):
     assert cut == whole and (None, 60) in whole and (0.0, 1) in whole
 
 
+def test_mean_of_a_group_without_an_order(spark, splitting):
+    df = spark.range(300).selectExpr("'g' AS k", "1 AS same", "if(id % 3 = 0, null, cast(id AS double)) AS v")
+    out = Ordered(df, ["k"], ["same"]).impute_mean(["v"]).frame
+    assert out.count() == 300 and out.where("v IS NULL").isEmpty()
+    assert out.where("v = 150.0").count() >= 100
+
+
+def test_far_shifts_do_not_broadcast(spark, splitting, monkeypatch):
+    df = spark.range(200).selectExpr("id % 2 AS k", "id")
+    near_by = Ordered(df, ["k"], ["id"]).shift({"p": ("id", 30)}).frame
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 10)
+    far = Ordered(df, ["k"], ["id"]).shift({"p": ("id", 30)}).frame
+    assert sorted(map(str, near_by.collect())) == sorted(map(str, far.collect()))
+
+
 def test_unequal_frames_do_not_align(spark):
     with pytest.raises(ValueError, match="5 and 3 rows"):
         joins.align_by_ordinal(spark.range(5), ["id"], spark.range(3).withColumnRenamed("id", "b"), ["b"])
