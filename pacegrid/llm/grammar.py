@@ -114,7 +114,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, cutter: str = "
     rows of one id by their text. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts(rows), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.withColumn("shard", F.spark_partition_id().cast("long"))
     binary, long = T.BinaryType(), T.LongType()
     schema = T.StructType(
