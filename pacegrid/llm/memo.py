@@ -2,8 +2,8 @@
 
 Words repeat, so each task keeps what the library gave for a piece of text and asks it only for
 pieces not seen yet. A text is cut only where no token can reach across (stated at each cutter); a
-text for which that is not certain goes through the library whole. The memory is cleared when full,
-which changes no result.
+text for which that is not certain goes through the library whole. The memory is bounded, which
+changes no result.
 """
 
 from __future__ import annotations
@@ -15,77 +15,81 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces remembered in one task, and characters worked on at once.
-REMEMBERED, AT_ONCE = 600_000, 1 << 20
+#: Pieces remembered in one task; as many older ones are kept until the next are full.
+REMEMBERED = 400_000
 
-#: White space for some of the libraries and Python, but not for all of them.
-DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+#: White space for some of the libraries but not for all: a text with one goes whole.
+DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+_RARE = "\t\r\f\v"
+
+
+class GoesWhole(Exception):
+    """A piece that says that its text cannot be cut."""
+
+
+class _Known(dict):
+    def __init__(self, ask: Callable, older: dict):
+        super().__init__()
+        self.ask, self.older = ask, older
+
+    def __missing__(self, piece: str):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.ask(piece)
+        self[piece] = value
+        return value
 
 
 class Memo:
-    """``bytes`` for each text: what its pieces gave, joined.
+    """What each text gives, from what its pieces give.
 
-    ``cut`` gives the pieces of a text, or None if it must go whole; ``encode`` gives the bytes of
-    each of a list of pieces, ``whole`` those of each of a list of texts.
+    ``cut`` gives the pieces of a text, or None if it must go whole; ``ask`` gives the value of one
+    piece or raises ``GoesWhole``; ``whole`` gives that of a text; ``join`` makes one of many.
     """
 
-    def __init__(self, cut: Callable, encode: Callable, whole: Callable):
-        self.cut, self.encode, self.whole = cut, encode, whole
-        self.known: dict[str, bytes] = {}
+    def __init__(self, cut: Callable, ask: Callable, whole: Callable, join: Callable = b"".join):
+        self.cut, self.ask, self.whole, self.join = cut, ask, whole, join
+        self.known = _Known(ask, {})
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def one(self, text: str):
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get = self.known.get
-        out: list = [None] * len(texts)
-        waiting, new, whole = [], set(), []
-        for i, text in enumerate(texts):
-            pieces = self.cut(text)
-            if pieces is None:
-                whole.append(i)
-                continue
-            got = list(map(get, pieces))
-            if None in got:
-                new.update(p for p, g in zip(pieces, got) if g is None)
-                waiting.append((i, pieces))
-            else:
-                out[i] = b"".join(got)
-        if new:
-            asked = list(new)
-            self.known.update(zip(asked, self.encode(asked)))
-        for i, pieces in waiting:
-            out[i] = b"".join(map(get, pieces))
-        if whole:
-            for i, got in zip(whole, self.whole([texts[i] for i in whole])):
-                out[i] = got
-        return out
-
-    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        batch, held = [], 0
-        for text in texts:
-            text = text or ""
-            batch.append(text)
-            held += len(text)
-            if held >= AT_ONCE:
-                yield from self._batch(batch)
-                batch, held = [], 0
-        yield from self._batch(batch)
+            older = self.known
+            older.older = {}
+            self.known = _Known(self.ask, older)
+        pieces = self.cut(text)
+        if pieces is None:
+            return self.whole(text)
+        try:
+            return self.join(map(self.known.__getitem__, pieces))
+        except GoesWhole:
+            return self.whole(text)
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator:
+        return (self.one(text or "") for text in texts)
 
 
 def _words(text: str) -> list[str] | None:
     """The vocabulary drops white space, so every token lies within a word."""
-    return None if DOUBTFUL.search(text) else text.split()
+    return text.replace("\n", " ").split(" ")
 
 
 def _spaced(text: str) -> list[str] | None:
-    """Cut before each run of white space: its last blank may open a token, none reaches back over it."""
-    return None if DOUBTFUL.search(text) else _UNIT.findall(text)
+    """Cut before each run of white space: its last blank may open a token, none reaches back over it.
+
+    A piece stands for itself with a blank before it, but one that opens with a line feed or, after a
+    carriage return as a mark, with anything else.
+    """
+    plain = text and text[0] not in " \n" and text[-1] not in " \n"
+    if plain and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _RARE)):
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\r" + pieces[0]
+        return pieces
+    return ["\r" + unit for unit in _UNIT.findall(text)]
 
 
 CUTTERS = {"words": _words, "spaced": _spaced}
 
-
 #: A plain word: what opens it, Latin letters that are composed and have one small form, end marks.
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,;:!?|#$%&*]*)")
 
@@ -105,34 +109,30 @@ def ids_of(path: str, cutter: str) -> Memo:
     level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     letters = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [10, *range(32, 127), *range(161, 256), 338, 339])}
     spelled = str.maketrans(letters)
+    written = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
 
-    def full(texts: list[str]) -> list[bytes]:
-        found = library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def whole(text: str) -> bytes:
+        return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(spelling: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in merges(spelling)])
+        return b"".join([written[t.id] for t in merges(spelling)])
 
     marks = lru_cache(maxsize=10_000)(ids)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        other = []
-        for i, piece in enumerate(pieces):
-            if not (m := _PLAIN.fullmatch(piece)):
-                other.append(i)
-                continue
-            opens, word, ends = m.groups()
-            if cutter == "words":
-                out[i] = ids(word.lower().translate(spelled))
-            elif opens == "\n":
-                out[i] = marks(letters[opens]) + ids(word.translate(spelled))
-            else:
-                out[i] = ids((opens + word).translate(spelled))
-            if ends:
-                out[i] += marks(ends)
-        for i, got in zip(other, full([pieces[i] for i in other])):
-            out[i] = got
-        return out
-
-    return Memo(CUTTERS[cutter], encode, full)
+    def ask(piece: str) -> bytes:
+        if cutter == "spaced":
+            piece = piece[1:] if piece[:1] == "\r" else piece if piece[:1] == "\n" else " " + piece
+        if not (m := _PLAIN.fullmatch(piece)):
+            if DOUBTFUL.search(piece):
+                raise GoesWhole
+            return whole(piece)
+        opens, word, ends = m.groups()
+        if cutter == "words":
+            out = ids(word.lower().translate(spelled))
+        elif opens == "\n":
+            out = marks(letters[opens]) + ids(word.translate(spelled))
+        else:
+            out = ids((opens + word).translate(spelled))
+        return out + marks(ends) if ends else out
+
+    return Memo(CUTTERS[cutter], ask, whole)

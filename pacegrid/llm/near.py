@@ -47,8 +47,10 @@ def _hashes() -> Memo:
     def cut(text: str) -> list[str]:
         return _RUN.findall(text) if any(c in text for c in "\t\r\f\v") else text.replace("\n", " ").split(" ")
 
-    encode = lambda words: [xxh3_64_digest(w.encode()) if w else b"" for w in words]
-    return Memo(cut, encode, None)
+    def ask(word: str) -> bytes:
+        return xxh3_64_digest(word.encode()) if word else b""
+
+    return Memo(cut, ask, None)
 
 
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

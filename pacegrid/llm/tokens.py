@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.llm.memo import REMEMBERED, Memo
+from pacegrid.llm.memo import Memo
 
 BLANK = "▁"  # the mark that the vocabulary writes for a space
 
@@ -43,27 +42,19 @@ def counter(path: str) -> Memo:
     library = SentencePieceProcessor(model_file=path)
     strings = [library.id_to_piece(i) for i in range(library.get_piece_size())]
     crossing = any(BLANK in s.lstrip(BLANK) or "\n" in s for s in strings)
-    one = np.asarray([1], "<u4").tobytes()
 
-    def lengths(texts: list[str]) -> list[int]:
-        return [len(x) for x in library.encode(texts, num_threads=1)]
+    def whole(text: str) -> int:
+        return len(library.encode(text, num_threads=1))
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        # before a line feed the library puts a mark of its own, which the text does not have there
-        counts = [n - p.startswith("\n") for p, n in zip(pieces, lengths(pieces))]
-        return [np.asarray([n], "<u4").tobytes() for n in counts]
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.asarray([n], "<u4").tobytes() for n in lengths(texts)]
+    single = proven(strings, lambda words: [len(x) == 1 for x in library.encode(words, num_threads=1)])
 
-    class Counter(Memo):
-        def _batch(self, texts):
-            if not self.known or len(self.known) > REMEMBERED:
-                self.known = dict.fromkeys(single, one)
-            return super()._batch(texts)
+    def ask(piece: str) -> int:
+        if piece in single:
+            return 1
+        # before a line feed the library puts a mark of its own, which the text does not have there
+        return whole(piece) - piece.startswith("\n")
 
-    single = proven(strings, lambda words: [n == 1 for n in lengths(words)])
-    return Counter((lambda text: None) if crossing else _cut, encode, whole)
+    return Memo((lambda text: None) if crossing else _cut, ask, whole, sum)
 
 
 def n_tokens(text: Column, path: str) -> Column:
@@ -73,9 +64,7 @@ def n_tokens(text: Column, path: str) -> Column:
     def count(texts):
         import pyarrow as pa
 
-        memo = counter(path)
-        sums = (int(np.frombuffer(b, "<u4").sum()) for b in memo(t.as_py() for t in texts))
-        return pa.array(list(sums), pa.int64())
+        return pa.array(list(counter(path)(t.as_py() for t in texts)), pa.int64())
 
     return count(text)
 
