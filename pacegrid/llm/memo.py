@@ -45,15 +45,16 @@ class Memo:
     """What each text gives, from what its pieces give.
 
     ``cut`` gives the pieces of a text, or None if it must go whole; ``ask`` gives the value of one
-    piece or raises ``GoesWhole``; ``whole`` gives that of a text; ``join`` makes one of many.
+    piece or raises ``GoesWhole``; ``whole`` gives that of a text; ``join`` makes one of many. Twice
+    ``most`` pieces are remembered at most.
     """
 
-    def __init__(self, cut: Callable, ask: Callable, whole: Callable, join: Callable = b"".join):
-        self.cut, self.ask, self.whole, self.join = cut, ask, whole, join
+    def __init__(self, cut: Callable, ask: Callable, whole: Callable, join: Callable = b"".join, most: int = REMEMBERED):
+        self.cut, self.ask, self.whole, self.join, self.most = cut, ask, whole, join, most
         self.known = _Known(ask, {})
 
     def one(self, text: str):
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             older = self.known
             older.older = {}
             self.known = _Known(self.ask, older)
@@ -69,6 +70,20 @@ class Memo:
         return (self.one(text or "") for text in texts)
 
 
+_HELD: dict[tuple, Memo] = {}
+
+
+def held(*key, make: Callable[[], Memo]) -> Memo:
+    """The worker's memory for a kind of work; a worker that turns to another kind forgets the last.
+
+    Workers live on from stage to stage, and the memories of all their stages would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def _words(text: str) -> list[str] | None:
     """The vocabulary drops white space, so every token lies within a word."""
     return text.replace("\n", " ").split(" ")
@@ -94,8 +109,12 @@ CUTTERS = {"words": _words, "spaced": _spaced}
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,;:!?|#$%&*]*)")
 
 
-@lru_cache(maxsize=4)
 def ids_of(path: str, cutter: str) -> Memo:
+    """Token ids of texts by a ``tokenizers`` file, from the worker's memory."""
+    return held("ids", path, cutter, make=lambda: _ids_of(path, cutter))
+
+
+def _ids_of(path: str, cutter: str) -> Memo:
     """Token ids as little-endian unsigned 32-bit bytes, by a ``tokenizers`` file.
 
     A plain word's pre-tokens are known without the library's patterns: its letters (with a blank

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacegrid.llm.memo import Memo
+from pacegrid.llm.memo import Memo, held
 from pacegrid.llm.tables import attach_group, ids_repeat, whole
 from pacegrid.session import settle
 
@@ -39,8 +38,11 @@ def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int
     return depth
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> Memo:
+    return held("hashes", make=_word_hashes)
+
+
+def _word_hashes() -> Memo:
     """64-bit hash of each word of a text, remembered by word."""
     from xxhash import xxh3_64_digest
 
@@ -50,7 +52,7 @@ def _hashes() -> Memo:
     def ask(word: str) -> bytes:
         return xxh3_64_digest(word.encode()) if word else b""
 
-    return Memo(cut, ask, None)
+    return Memo(cut, ask, None, most=150_000)
 
 
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

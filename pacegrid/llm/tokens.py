@@ -6,12 +6,10 @@ counted by a table look-up, only other pre-tokens are merged by the library, onc
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.llm.memo import Memo
+from pacegrid.llm.memo import Memo, held
 
 BLANK = "▁"  # the mark that the vocabulary writes for a space
 
@@ -35,8 +33,12 @@ def proven(strings: list[str], is_single) -> set[str]:
     return {w for w, one in zip(words, is_single(words)) if one}
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Memo:
+    """Token counts of texts by a ``.model`` file, from the worker's memory."""
+    return held("counts", path, make=lambda: _counter(path))
+
+
+def _counter(path: str) -> Memo:
     from sentencepiece import SentencePieceProcessor
 
     library = SentencePieceProcessor(model_file=path)
