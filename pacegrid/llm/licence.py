@@ -122,6 +122,11 @@ def _paragraphs(spark: SparkSession) -> DataFrame:
             for i in range(6):
                 before, after = prose[(3 * i + len(own)) % len(prose)], prose[(5 * i + 1) % len(prose)]
                 rows.append((family, " ".join([*before[: 2 * i], *own, *after[: 12 - 2 * i]])))
+            # a window of a whole text holds a wrapped notice among more words than the notice has
+            for i in range(6):
+                around = [w for k in range(7) for w in prose[(7 * i + 3 * k + len(own)) % len(prose)]][: max(0, WINDOW - len(own))]
+                at = len(around) * i // 5
+                rows.append((family, " ".join([*around[:at], *own, *around[at:]])))
     # the same words in another order are no notice
     for family, notices in TEMPLATES.items():
         for notice in notices:
@@ -130,7 +135,8 @@ def _paragraphs(spark: SparkSession) -> DataFrame:
                 rows.append((UNKNOWN, " ".join(sorted(own))))
                 rows.append((UNKNOWN, " ".join(own[::-1])))
     rows += [(UNKNOWN, " ".join(prose[i][a:] + prose[(i + k) % len(prose)])) for i in range(len(prose)) for k in (1, 2, 4, 7) for a in (0, 3)]
-    rows += [(UNKNOWN, "")] * 5
+    long = [" ".join([w for k in range(7) for w in prose[(i + step * k) % len(prose)]][:WINDOW]) for i in range(len(prose)) for step in (2, 3, 5)]
+    rows += [(UNKNOWN, text) for text in long] + [(UNKNOWN, "")] * 5
     return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "i int, family string, text string")
 
 
@@ -201,18 +207,24 @@ class Classifier:
 def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """Confirmed notices: ``doc_id, mark, paragraph, window, family, probability, overlap, text``.
 
-    Paragraphs are the lines of a text, from 0. One of more than ``WINDOW`` words is looked at in
-    overlapping windows, all of it. Paragraphs without an anchor could not be confirmed, so they are
-    not scored.
+    Paragraphs are the lines of a text, from 0, and, where there are several lines, the whole text
+    with line feeds as blanks (``paragraph`` is null), as notices are often wrapped. One of more than
+    ``WINDOW`` words is looked at in overlapping windows, all of it. Paragraphs and windows without an
+    anchor could not be confirmed, so they are not scored.
     """
     classifier = classifier or Classifier(docs.sparkSession)
-    holds = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in anchors()])
+    # through an array of one, so that the text is made once and not once for each anchor
+    holds = lambda text: F.exists(F.array(text), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in anchors()]))
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where(F.col("text").isNotNull() & holds(F.lower("text")))
-    rows = rows.select("doc_id", "mark", F.posexplode(F.split("text", r"\n")).alias("paragraph", "text"))
+    lines = F.transform(F.split("text", r"\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("text")))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("paragraph"), F.col("text").alias("text")))
+    rows = rows.select("doc_id", "mark", F.inline(F.when(F.contains("text", F.lit("\n")), F.concat(lines, whole)).otherwise(lines)))
     rows = rows.where(holds(F.lower("text"))).withColumn("all", words(F.col("text")))
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - WINDOW) / STEP)).cast("int")
-    rows = rows.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.withColumn("found", F.slice("all", F.col("window") * STEP + 1, F.lit(WINDOW))).drop("all")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda w: F.struct(w.alias("window"), F.slice("all", w * STEP + 1, F.lit(WINDOW)).alias("found")))
+    text = F.when(F.col("paragraph").isNotNull(), F.col("text")).alias("text")
+    rows = rows.select("doc_id", "mark", "paragraph", text, F.inline(cut)).where(holds(F.array_join("found", " ")))
+    rows = rows.withColumn("text", F.coalesce("text", F.array_join("found", " ")))
     return classifier.classify(rows).where(F.col("family") != UNKNOWN).drop("found")
 
 
@@ -220,15 +232,25 @@ def licences(docs: DataFrame) -> DataFrame:
     """``doc_id, license, families, notices, probability, overlap`` for each row of ``docs``.
 
     ``license`` is the family of the surest confirmed notice (ties by name), or ``unknown``;
-    ``families`` lists all found, sorted, joined by commas. Null, empty and blank texts are unknown
-    with no notices and probability and overlap 0. Repeated rows stay repeated. Other columns are not
-    read; no rows give no rows.
+    ``families`` lists all found, sorted, joined by commas. ``notices`` adds up over the families the
+    lines that are notices or, if these are more, the places of the whole text that hold one. Null,
+    empty and blank texts are unknown with no notices and probability and overlap 0. Repeated rows
+    stay repeated. Other columns are not read; no rows give no rows.
     """
-    best = F.max_by("family", F.struct("probability", "overlap", "family"))
-    found = notices(docs).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
-        best.alias("license"),
+    at = F.sort_array(F.collect_set(F.when(F.col("paragraph").isNull(), F.col("window"))))
+    found = notices(docs).groupBy("doc_id", "mark", "family").agg(
+        F.count_distinct("paragraph").alias("lines"),
+        at.alias("at"),
+        F.max(F.struct("probability", "overlap")).alias("surest"),
+        F.max("probability").alias("probability"),
+        F.max("overlap").alias("overlap"),
+    )
+    # windows that follow each other overlap: one place
+    places = F.size(F.filter("at", lambda w, i: F.coalesce(w - F.get("at", i - 1) > 1, F.lit(True))))
+    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
+        F.max_by("family", F.struct("surest", "family")).alias("license"),
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"),
-        F.count_distinct("paragraph").alias("notices"),
+        F.sum(F.greatest("lines", places)).alias("notices"),
         F.max("probability").alias("probability"),
         F.max("overlap").alias("overlap"),
     )
