@@ -29,6 +29,8 @@ LEAST = 10
 HIDDEN, EPOCHS, RATE, DECAY = 24, 150, 0.02, 1e-2
 ACCEPT = 0.3
 REMEMBERED = 300_000
+#: Characters of a word; a longer token is read as consecutive pieces of so many.
+PIECE = 64
 _LETTERS = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 NOTHING, AGAIN = 0, 1  # buckets: no word, and a word like the one before
 
@@ -38,8 +40,10 @@ def _bucket(kind: str, word: str) -> int:
 
 
 def words_of(token: str) -> bytes:
-    """Buckets of a token's letters, shape and marks, as three 32-bit numbers."""
-    before, body, after = _LETTERS.match(token[:64]).groups()
+    """Buckets of letters, shape and marks, as three 32-bit numbers; of each piece, if a token is long."""
+    if len(token) > PIECE:
+        return b"".join([words_of(token[at : at + PIECE]) for at in range(0, len(token), PIECE)])
+    before, body, after = _LETTERS.match(token).groups()
     shape = "none"
     if body:
         shape = "upper" if body.isupper() and len(body) > 1 else "title" if body[0].isupper() else "lower" if body.islower() else "other"
@@ -50,7 +54,7 @@ def words_of(token: str) -> bytes:
 
 
 class Reader:
-    """Texts to arrays of buckets, three to a token; remembers tokens."""
+    """Texts to arrays of buckets, three to a token or piece of one; remembers tokens."""
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
@@ -62,8 +66,9 @@ class Reader:
         if None in got:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known.update((t, words_of(t)) for t in set(tokens) if t not in self.known)
-            got = list(map(self.known.get, tokens))
+            self.known.update((t, words_of(t)) for t in set(tokens) if len(t) <= PIECE and t not in self.known)
+            # long tokens seldom repeat, and would make the memory large
+            got = [get(t) or words_of(t) for t in tokens]
         return np.frombuffer(b"".join(got), "<i4").reshape(-1, 3)
 
 

@@ -34,6 +34,8 @@ MOST = 6.0
 TREES, DEPTH, STEP = 20, 3, 0.3
 NEAR = 5
 REMEMBERED = 300_000
+#: Characters of a word; a longer token is read whole, by its runs of letters and their n-grams, and has a row for each piece of so many.
+PIECE = 64
 #: Fold whose rows calibrate.
 CALIBRATE = 4
 
@@ -44,6 +46,7 @@ _PLAIN = str.maketrans("0134578@$!", "oieastbasi")
 _INNER = re.compile(r"(?<=\w)[\W_]+(?=\w)")
 _LONG = re.compile(r"(.)\1{2,}")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_RUN = re.compile(r"[^\W_]+")
 _DIGIT_INSIDE = re.compile(r"[^\W\d_][\d@$!*]+[^\W\d_]")
 #: Of a token: weight, second person, letters, capitals, marks (! ?), obfuscated, wholly capital.
 _KIND = np.dtype("<f4")
@@ -52,14 +55,38 @@ FEATURES = 16
 
 
 def entries(token: str) -> tuple[str, ...]:
-    """What of a token may be in the lexicon: the plain word, and its beginnings of 4 to 6 letters."""
-    word = _EDGES.sub("", token[:64]).lower()
+    """What of a token may be in the lexicon: the plain word, and its beginnings of 4 to 6 letters.
+
+    Of a long token, all that ``placed`` gives.
+    """
+    if len(token) > PIECE:
+        return tuple(dict.fromkeys(e for _, e in placed(token)))
+    word = _EDGES.sub("", token).lower()
     if _DIGIT_INSIDE.search(word):
         word = word.translate(_PLAIN)
     word = _LONG.sub(r"\1", _INNER.sub("", word) if "'" not in word and "’" not in word else word)
     return (word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) >= n)) if word else ()
 
 
+def placed(token: str) -> Iterator[tuple[int, str]]:
+    """Place and entry of all in a long token that may be in the lexicon.
+
+    Runs of letters and digits count as words. As words may be joined without a mark, the six letters
+    from any place count as a beginning; of letters without case (in writing without blanks), two to
+    four from any place count as a word.
+    """
+    for found in _RUN.finditer(token):
+        run, start = found.group(), found.start()
+        if len(run) <= PIECE:
+            yield from ((start, e) for e in entries(run))
+        for i, c in enumerate(run):
+            if c.lower() != c.upper():
+                if len(run) >= i + 6:
+                    yield start + i, run[i : i + 6].lower() + "-"
+            elif not c.isdigit():
+                yield from ((start + i, run[i : i + n].lower()) for n in (2, 3, 4) if len(run) >= i + n)
+
+
 class Tokens:
     """Texts to arrays of token features under one lexicon; remembers tokens."""
 
@@ -67,7 +94,14 @@ class Tokens:
         self.lexicon, self.known, self.second = lexicon, {}, set(SECOND_PERSON)
 
     def _of(self, token: str) -> bytes:
-        weight = max((self.lexicon.get(e, 0.0) for e in entries(token)), default=0.0)
+        if len(token) <= PIECE:
+            return self._row(token, max((self.lexicon.get(e, 0.0) for e in entries(token)), default=0.0))
+        weights = [0.0] * -(-len(token) // PIECE)
+        for at, e in placed(token):
+            weights[at // PIECE] = max(weights[at // PIECE], self.lexicon.get(e, 0.0))
+        return b"".join([self._row(token[i * PIECE : (i + 1) * PIECE], w) for i, w in enumerate(weights)])
+
+    def _row(self, token: str, weight: float) -> bytes:
         body = _EDGES.sub("", token)
         odd = bool(_DIGIT_INSIDE.search(body) or _LONG.search(body) or (_INNER.search(body) and not re.search(r"['’-]", body)))
         capitals = sum(map(str.isupper, body))
@@ -81,8 +115,9 @@ class Tokens:
         if None in got:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known.update((t, self._of(t)) for t in set(tokens) if t not in self.known)
-            got = list(map(self.known.get, tokens))
+            self.known.update((t, self._of(t)) for t in set(tokens) if len(t) <= PIECE and t not in self.known)
+            # long tokens seldom repeat, and would make the memory large
+            got = [self.known.get(t) or self._of(t) for t in tokens]
         return np.frombuffer(b"".join(got), _KIND).reshape(-1, _N)
 
 
