@@ -1,7 +1,8 @@
 """Text quality from random-indexing word vectors (method of the dealt operator 3).
 
 A word's index vector is sparse and drawn from its hash; its word vector is the sum of the index
-vectors of its neighbours over the labelled sample. Words live in a fixed number of hash buckets.
+vectors of its neighbours over all documents that are not held out. Words live in a fixed number of
+hash buckets.
 A white-space token counts as up to three words: its letters, its shape, and its end marks; a word
 that repeats the one before it is followed by a mark of repetition. The mean and the spread of a
 document's word vectors go through a two-layer network; a temperature fitted on rows that the
@@ -24,11 +25,13 @@ from pacegrid.llm.labelled import held_out, sample
 from pacegrid.llm.tables import whole
 
 BUCKETS, WIDTH, SPARSE, WINDOW = 1 << 15, 48, 6, 2
-#: A word met less often than this in the sample has no vector: its neighbours are chance.
+#: A word met less often than this has no vector: its neighbours are chance.
 LEAST = 10
 HIDDEN, EPOCHS, RATE, DECAY = 24, 150, 0.02, 1e-2
 ACCEPT = 0.3
 REMEMBERED = 300_000
+#: Words whose neighbours are added up at a time.
+AT_ONCE = 200_000
 #: Characters of a word; a longer token is read as consecutive pieces of so many.
 PIECE = 64
 _LETTERS = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
@@ -90,32 +93,59 @@ def index_vectors(buckets: int = BUCKETS, width: int = WIDTH, sparse: int = SPAR
     return out
 
 
+def joined(texts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The words of many texts in one array, with so much of nothing between them that no two texts meet."""
+    parts, size, apart = [], 0, np.full(WINDOW, NOTHING, np.int32)
+    for words in texts:
+        parts += [words, apart]
+        size += len(words) + WINDOW
+        if size >= AT_ONCE:
+            yield np.concatenate(parts)
+            parts, size = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
+def neighbours(words: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors (their places and signs) of the words up to ``WINDOW`` away, per bucket."""
+    sums = np.zeros(BUCKETS * WIDTH)
+    for away in range(1, WINDOW + 1):
+        for own, other in ((words[away:], words[:-away]), (words[:-away], words[away:])):
+            row, at, sign = own.astype(np.int64) * WIDTH, places[other], signs[other]
+            for i in range(SPARSE):
+                sums += np.bincount(row + at[:, i], sign[:, i], BUCKETS * WIDTH)
+    return sums.reshape(BUCKETS, WIDTH)
+
+
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Sums of neighbours' index vectors per bucket, over the rows of a bounded sample.
+    """Sums of neighbours' index vectors per bucket, over all rows of ``texts``.
 
-    Each task adds up its own rows and gives one row per bucket it has met, Spark adds those up.
+    Each task adds up its own rows and gives one row per bucket it has met, Spark adds those up. The
+    sums are whole numbers, so they are the same in any order.
     """
+    names = [f"v{i}" for i in range(WIDTH)]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, index = Reader(), index_vectors()
-        sums, times = np.zeros((BUCKETS, WIDTH), np.float32), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                words = stream(read(text))
-                times += np.bincount(words, minlength=BUCKETS)
-                for away in range(1, min(WINDOW, len(words) - 1) + 1):
-                    np.add.at(sums, words[away:], index[words[:-away]])
-                    np.add.at(sums, words[:-away], index[words[away:]])
+        index[NOTHING] = 0
+        places = np.abs(index).argsort(1)[:, -SPARSE:]
+        signs = np.take_along_axis(index, places, 1).astype(float)
+        sums, times = np.zeros((BUCKETS, WIDTH)), np.zeros(BUCKETS, np.int64)
+        for words in joined(stream(read(text)) for batch in batches for text in batch["text"]):
+            times += np.bincount(words, minlength=BUCKETS)
+            sums += neighbours(words, places, signs)
+        times[NOTHING] = 0
         met = np.flatnonzero(times)
         for at in range(0, len(met), 4096):
             some = met[at : at + 4096]
-            yield pd.DataFrame({"bucket": some, "n": times[some], "v": [row.tobytes() for row in sums[some]]})
+            yield pd.DataFrame(sums[some].astype(np.int64), columns=names).assign(bucket=some, n=times[some])
 
+    kinds = ", ".join(f"{c} long" for c in [*names, "bucket", "n"])
+    rows = texts.select("text").mapInPandas(gather, kinds)
+    total = rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in [*names, "n"]])
     out, met = np.zeros((BUCKETS, WIDTH)), np.zeros(BUCKETS, np.int64)
-    # at most BUCKETS rows from a task of the bounded sample
-    for bucket, n, v in texts.select("text").coalesce(4).mapInPandas(gather, "bucket long, n long, v binary").collect():
-        out[bucket] += np.frombuffer(v, np.float32)
-        met[bucket] += n
+    for bucket, n, *v in total.select("bucket", "n", *names).collect():  # at most BUCKETS rows
+        out[bucket], met[bucket] = v, n
     out[met < LEAST] = 0
     length = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, length, out=out, where=length > 0).astype(np.float32)
@@ -178,7 +208,9 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network] | None:
     """Word vectors and network; None where the labels do not hold both values."""
     rows = sample(docs, labels, "quality")
-    vectors = word_vectors(rows)
+    if rows.select("y").distinct().count() < 2:
+        return None
+    vectors = word_vectors(docs.where(~held_out(F.col("doc_id"))))
     shared = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,8 +221,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network] | None
 
     got = rows.mapInPandas(features, "y int, fold int, x binary").toPandas()  # bounded by the sample
     shared.unpersist()
-    if got["y"].nunique() < 2:
-        return None
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float)
     y, fold = got["y"].to_numpy(float), got["fold"].to_numpy()
     order = np.lexsort((*x.T[:3], y))  # the same sums whichever task gave which row
