@@ -4,7 +4,8 @@ Built-in DataFrame functions and ``pyspark.ml`` throughout. A sparse logistic re
 n-grams, trained here on notices in many wordings and on other prose, gives each paragraph a family
 or ``unknown``; the probability a family needs is calibrated on paragraphs not trained on, so that
 what is not a notice stays unknown. A found family counts only if the paragraph also shares enough
-word pairs with a template of it.
+word pairs with a template of it, those that tell it from its kin among them. SPDX tags count as they
+stand.
 """
 
 from __future__ import annotations
@@ -40,6 +41,29 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+    ],
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ],
+    "lgpl-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+    ],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "bsd-2-clause": [
+        "Released under the BSD 2-Clause License.",
+    ],
     "bsd-3-clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -56,6 +80,14 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
+    "cc-by-nc-sa-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "cc-by-nd-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -70,6 +102,29 @@ TEMPLATES = {
     ],
 }
 
+#: Word pairs that tell a family from its kin: a template that has one of its family's confirms nothing without it.
+TELLS = {
+    "apache-2.0": ["apache license", "version 2.0", "licenses license-2.0"],
+    "mit": ["mit license"],
+    "gpl-3.0": ["gnu general", "version 3"],
+    "gpl-2.0": ["gnu general", "version 2"],
+    "lgpl-3.0": ["lesser general", "version 3"],
+    "lgpl-2.1": ["lesser general", "version 2.1"],
+    "agpl-3.0": ["affero general", "version 3"],
+    "isc": ["isc license"],
+    "bsd-2-clause": ["bsd 2-clause"],
+    "bsd-3-clause": ["bsd 3-clause"],
+    "mpl-2.0": ["mozilla public", "version 2.0", "v 2.0"],
+    "cc-by-nc-4.0": ["by-nc 4.0", "attribution-noncommercial 4.0"],
+    "cc-by-sa-4.0": ["by-sa 4.0", "attribution-sharealike 4.0"],
+    "cc-by-nc-sa-4.0": ["by-nc-sa 4.0", "attribution-noncommercial-sharealike 4.0"],
+    "cc-by-nd-4.0": ["by-nd 4.0", "attribution-noderivatives 4.0"],
+    "cc-by-4.0": ["by 4.0", "attribution 4.0"],
+    "cc0-1.0": ["cc0 1.0"],
+}
+#: The families' names are SPDX identifiers; a tag names them outright, in so many words after it at most.
+TAG, TAGGED = "spdx-license-identifier", 12
+
 #: Prose that is about neither. Own sentences.
 PROSE = [
     "The driver needs a license to operate the truck in this state.",
@@ -183,25 +238,39 @@ class Classifier:
     @staticmethod
     def _calibrated(tried: DataFrame) -> float:
         """Halfway from the surest wrong family of the paragraphs kept back to certainty; one half at least."""
-        surest = F.array_max(F.slice(vector_to_array("probability"), 2, len(TEMPLATES)))
+        p = vector_to_array("probability")
+        surest = F.array_max(F.transform(F.slice(p, 2, len(TEMPLATES)), lambda own: own / (own + p[0])))
         wrong = tried.agg(F.max(F.when(F.col("label") == 0, surest))).first()[0] or 0.0
         return max(0.5, min(0.9, (1 + wrong) / 2))
 
     def classify(self, windows: DataFrame) -> DataFrame:
-        """Add ``family``, ``probability`` and ``overlap`` to rows with an array of ``found`` words."""
+        """A row with ``family``, ``probability`` and ``overlap`` for each family confirmed in a row of ``windows``.
+
+        ``windows`` has an array of ``found`` words and a ``paragraph``, null for a window of a whole
+        text. Each family is held against unknown alone, so one window may hold several.
+        """
         rows = self.model.transform(self.vocabulary.transform(windows.withColumn("grams", grams(F.col("found")))))
-        p = vector_to_array("probability")
-        sure = F.array_max(p)
-        name = F.element_at(F.array(*map(F.lit, self.families)), F.array_position(p, sure).cast("int"))
-        rows = rows.select(*windows.columns, "grams", name.alias("__name"), sure.alias("probability"))
-        shares = {
-            family: F.greatest(*[F.size(F.array_intersect("grams", F.array(*map(F.lit, ps)))) / len(ps) for ps in map(_pairs, notices)], F.lit(0.0))
-            for family, notices in TEMPLATES.items()
-        }
-        overlap = reduce(lambda c, f: c.when(F.col("__name") == f, shares[f]), shares, F.when(F.lit(False), 0.0)).otherwise(0.0)
-        rows = rows.withColumn("overlap", overlap)
-        good = (F.col("probability") >= self.needed) & (F.col("overlap") >= CONFIRM)
-        return rows.withColumn("family", F.when(good, F.col("__name")).otherwise(UNKNOWN)).drop("__name", "grams")
+        after = F.slice("found", F.array_position("found", TAG).cast("int") + 1, F.lit(TAGGED))
+        tagged = F.when(F.col("paragraph").isNotNull() & F.array_contains("found", TAG), after).otherwise(F.array().cast("array<string>"))
+        rows = rows.select(*windows.columns, "grams", vector_to_array("probability").alias("p"), tagged.alias("tagged"))
+        places = [(f, F.col("p")[i] / (F.col("p")[i] + F.col("p")[0])) for i, f in enumerate(self.families) if f != UNKNOWN]
+
+        def share(family: str, notice: str) -> Column:
+            pairs = _pairs(notice)
+            tells = [F.array_contains("grams", t) for t in TELLS.get(family, []) if t in pairs]
+            overlap = F.size(F.array_intersect("grams", F.array(*map(F.lit, pairs)))) / len(pairs)
+            return F.when(reduce(lambda a, b: a & b, tells, F.lit(True)), overlap).otherwise(0.0)
+
+        def confirmed(family: str, own: Column) -> Column:
+            overlap = F.greatest(*[share(family, n) for n in TEMPLATES[family]], F.lit(0.0))
+            named = F.arrays_overlap("tagged", F.array(*[F.lit(family + end) for end in ("", "-only", "-or-later")]))
+            one = F.lit(1.0)
+            of = lambda p, o: F.struct(F.lit(family).alias("family"), p.alias("probability"), o.alias("overlap"))
+            return F.when(named, of(one, one)).when(own >= self.needed, of(own, overlap))
+
+        # by a generator, so that a filter on its columns does not compute them again
+        every = F.filter(F.array(*[confirmed(f, own) for f, own in places]), lambda x: x["overlap"] >= CONFIRM)
+        return rows.select(*windows.columns, F.inline(every))
 
 
 def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
@@ -225,7 +294,7 @@ def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     text = F.when(F.col("paragraph").isNotNull(), F.col("text")).alias("text")
     rows = rows.select("doc_id", "mark", "paragraph", text, F.inline(cut)).where(holds(F.array_join("found", " ")))
     rows = rows.withColumn("text", F.coalesce("text", F.array_join("found", " ")))
-    return classifier.classify(rows).where(F.col("family") != UNKNOWN).drop("found")
+    return classifier.classify(rows).drop("found")
 
 
 def licences(docs: DataFrame) -> DataFrame:

@@ -40,3 +40,27 @@ def test_notices_are_counted_once(spark):
     texts = [f"{short}\n{OTHER}\n{short}", f"{short}\n{OTHER}\n{textwrap.fill(MIT, 60)}", f"{short}\n{short}"]
     got = scanned(spark, texts)
     assert [got[i]["notices"] for i in range(3)] == [2, 2, 2]
+
+
+def test_several_notices_in_a_line_and_close_kin(spark):
+    cases = {
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.": "apache-2.0,mit",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+        "Released under the BSD 2-Clause License.": "bsd-2-clause",
+        "Released under the BSD 3-Clause License.": "bsd-3-clause",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
+        "# SPDX-License-Identifier: (GPL-2.0-only OR MIT)": "gpl-2.0,mit",
+        "Licensed under the Apache License, Version 1.1.": "",
+        GPL.replace("version 3", "version 2"): "gpl-2.0",
+    }
+    got = scanned(spark, list(cases))
+    assert [got[i]["families"] for i in range(len(cases))] == list(cases.values())
+
+
+def test_every_template_is_its_family(spark):
+    cases = [(f, n) for f, notices in licence.TEMPLATES.items() for n in notices]
+    got = scanned(spark, [n for _, n in cases])
+    assert [got[i]["families"] for i in range(len(cases))] == [f for f, _ in cases]
