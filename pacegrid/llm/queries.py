@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pacegrid.llm import exact, grammar, licence, mixing, near, nearest, packing, quality, tokens, toxicity
+from pacegrid.llm import (
+    audit,
+    exact,
+    grammar,
+    licence,
+    mixing,
+    near,
+    nearest,
+    packing,
+    quality,
+    simhash,
+    tokens,
+    toxicity,
+    trie,
+)
 from pacegrid.llm.tables import ship, table
 
 #: Where the public vocabulary files are.
@@ -60,6 +74,21 @@ def op10_token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), PATH("piece_bpe_32k.model"))
 
 
+def op11_simhash(spark, folder):
+    ship(spark)
+    return simhash.near_components(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark, folder):
+    ship(spark)
+    return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_prefix_trie(spark, folder):
+    ship(spark)
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
         op1_ngram_jaccard_join,
         op2_license_scan,
@@ -71,6 +100,15 @@ QUERIES = {f.__name__: f for f in (
         op8_nearest_neighbours,
         op9_toxicity,
         op10_token_counts,
+        op11_simhash,
+        op12_filter_audit,
+        op13_prefix_trie,
     )}
 
-SQL = {"op4_source_mix": mixing.SQL, "op6_exact_dedup": exact.SQL, "op8_nearest_neighbours": nearest.SQL}
+SQL = {
+    "op4_source_mix": mixing.SQL,
+    "op6_exact_dedup": exact.SQL,
+    "op8_nearest_neighbours": nearest.SQL,
+    "op12_filter_audit": audit.SQL,
+    "op13_prefix_trie": trie.SQL,
+}
