@@ -5,9 +5,9 @@ differ in some segment by no more than its radius, where the radii add up to ``D
 number of segments plus one (all above their radius would be too many bits). So each distinct
 fingerprint stands in one table per segment under its own value, and asks the tables for all values
 of a small Hamming ball around it. Of two values the smaller asks for the larger, so a pair is asked
-for from one side only. Where a bucket of a table is large, its members are cut into blocks, and
-blocks meet in pairs in tasks' streams. Complete distances are verified; what leaves a block is a tie
-per fingerprint to its part, never a row per pair.
+for from one side only. Sorted by bucket, members pass a task as a stream, and complete distances are
+verified within a bucket. Where a bucket is large, its members are cut into blocks, and blocks meet
+in pairs. What leaves a bucket is a tie per fingerprint to its part, never a row per pair.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pacegrid.llm.graph import connected
 from pacegrid.llm.tables import attach_group
 from pacegrid.session import settle
 
-BITS, WORDS, SEED, DISTANCE, SEGMENTS = 64, 4, 42, 4, 3
+BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
+#: Three segments give buckets of 21 bits. Beyond so many distinct fingerprints two of 32 bits cost less.
+MANY = 1 << 32
 #: Members of a block of a large bucket; shingles, and pairs, that are held at once.
 BLOCK, AT_ONCE, PAIRS = 1024, 1 << 16, 1 << 20
 
@@ -67,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return rows.mapInArrow(read, schema)
 
 
-def segment_plan(segments: int = SEGMENTS, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
+def segment_plan(segments: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
     """(lowest bit, bits, radius) of each segment; the wider segments come last, with the smaller radii."""
     widths = [(BITS + s) // segments for s in range(segments)]
     spare = distance - segments + 1
@@ -109,15 +111,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def close(fps: np.ndarray, starts: np.ndarray, lefts: np.ndarray, rights: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ties between each group's left and right fingerprints; a group has its left ones first."""
+def close(fps: np.ndarray, starts: np.ndarray, lefts: np.ndarray, skip: np.ndarray, rights: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ties between each group's first ``lefts`` fingerprints and the ``rights`` ones after ``skip``."""
     pairs = lefts * rights
     for g in np.flatnonzero(pairs > PAIRS // 64):
-        cut = starts[g] + lefts[g]
-        right = fps[cut : cut + rights[g]]
-        rows = max(1, PAIRS // max(1, len(right)))
-        for at in range(starts[g], cut, rows):
-            left = fps[at : min(at + rows, cut)]
+        right = fps[starts[g] + skip[g] :][: rights[g]]
+        rows = max(1, PAIRS // len(right))
+        for at in range(0, lefts[g], rows):
+            left = fps[starts[g] + at : starts[g] + min(at + rows, lefts[g])]
             off = left[:, None] ^ right[None, :]
             i, j = np.nonzero((np.bitwise_count(off.view(np.uint64)) <= distance) & (off != 0))
             if len(i):
@@ -131,7 +132,7 @@ def close(fps: np.ndarray, starts: np.ndarray, lefts: np.ndarray, rights: np.nda
         g = np.repeat(some, pairs[some])
         place = np.arange(len(g)) - np.repeat(np.cumsum(pairs[some]) - pairs[some], pairs[some])
         left = fps[starts[g] + place // rights[g]]
-        right = fps[starts[g] + lefts[g] + place % rights[g]]
+        right = fps[starts[g] + skip[g] + place % rights[g]]
         off = left ^ right
         near = (np.bitwise_count(off.view(np.uint64)) <= distance) & (off != 0)
         if near.any():
@@ -139,8 +140,24 @@ def close(fps: np.ndarray, starts: np.ndarray, lefts: np.ndarray, rights: np.nda
         at = end
 
 
-def ties(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+#: A member of a group is compared as a left one, as both, or as a right one.
+LEFT, BOTH, RIGHT = 0, 1, 2
+
+
+def _blocks(places: DataFrame, large: DataFrame) -> DataFrame:
+    """Members of large buckets, copied to the pairs of blocks that they take part in."""
+    met = attach_group(places, large, "bucket", "members", "fp")
+    rows, columns = F.ceil(F.col("held") / BLOCK).cast("long"), F.ceil(F.col("members") / BLOCK).cast("long")
+    met = met.withColumns({"own": F.xxhash64("fp", F.lit(3)), "rows": rows, "columns": columns})
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("rows", "columns")}
+    left = met.where(~F.col("asks")).select("bucket", F.pmod("own", "rows").alias("i"), every["columns"].alias("j"), F.lit(LEFT).alias("side"), "fp")
+    right = met.select("bucket", every["rows"].alias("i"), F.pmod("own", "columns").alias("j"), F.lit(RIGHT).alias("side"), "fp")
+    return left.unionByName(right)
+
+
+def ties(fps: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """``a, b``: links that connect what all links of the distinct ``fps`` connect."""
+    segments = segments or (3 if fps.count() <= MANY else 2)
     plan = segment_plan(segments, distance)
 
     def ask(batches):
@@ -152,15 +169,15 @@ def ties(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
 
     places = settle(fps.select("fp").mapInArrow(ask, "bucket long, asks boolean, fp long"))
     counts = places.groupBy("bucket").agg(F.count_if(~F.col("asks")).alias("held"), F.count(F.lit(1)).alias("members"))
-    # a bucket that nobody stands in, or nobody else asks for, holds no pair
-    counts = counts.where("held > 0 AND members > 1")
-    met = attach_group(places, counts, "bucket", "members", "fp")
-    rows, columns = F.ceil(F.col("held") / BLOCK).cast("long"), F.ceil(F.col("members") / BLOCK).cast("long")
-    met = met.withColumns({"own": F.xxhash64("fp", F.lit(3)), "rows": rows, "columns": columns})
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = met.where(~F.col("asks")).select("bucket", F.pmod("own", "rows").alias("i"), upto("columns").alias("j"), F.lit(False).alias("right"), "fp")
-    right = met.select("bucket", upto("rows").alias("i"), F.pmod("own", "columns").alias("j"), F.lit(True).alias("right"), "fp")
-    dealt = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right")
+    large = settle(counts.where(F.col("members") > BLOCK))
+    none = F.lit(0).cast("long")
+    side = F.when(F.col("asks"), RIGHT).otherwise(BOTH).alias("side")
+    if large.isEmpty():
+        dealt = places.select("bucket", none.alias("i"), none.alias("j"), side, "fp")
+    else:
+        rest = places.join(large, "bucket", "left_anti")
+        dealt = rest.select("bucket", none.alias("i"), none.alias("j"), side, "fp").unionByName(_blocks(places, large.where("held > 0")))
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
     def compare(batches):
         import pyarrow as pa
@@ -168,7 +185,7 @@ def ties(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
         kept = None
         for batch in chain(batches, [None]):
             if batch is not None:
-                parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "right", "fp")]
+                parts = [batch.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "fp")]
                 kept = parts if kept is None else [np.concatenate(p) for p in zip(kept, parts)]
             if kept is None or not len(kept[0]):
                 continue
@@ -179,15 +196,15 @@ def ties(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
             starts = starts[starts < whole]
             if len(starts):
                 sizes = np.diff(np.append(starts, whole))
-                rights = np.add.reduceat(kept[3][:whole].astype(np.int64), starts)
-                for a, b in close(kept[4], starts, sizes - rights, rights, distance):
+                only_left, only_right = (np.add.reduceat((kept[3][:whole] == s).astype(np.int64), starts) for s in (LEFT, RIGHT))
+                for a, b in close(kept[4], starts, sizes - only_right, only_left, sizes - only_left, distance):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             kept = [p[whole:] for p in kept]
 
     return settle(dealt.mapInArrow(compare, "a long, b long"))
 
 
-def near_components(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, width: int = WORDS) -> DataFrame:
+def near_components(docs: DataFrame, distance: int = DISTANCE, segments: int | None = None, width: int = WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
     Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the smallest id of
