@@ -258,8 +258,6 @@ def tree_estimator(
         maxBins=2 * MAX_CATEGORIES,
         lossType="squared",
         seed=TREE_SEED,
-        cacheNodeIds=True,
-        checkpointInterval=10,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from pacegrid.functions.numbers import rounded
 from pacegrid.plans import models as M
-from pacegrid.plans import report
+from pacegrid.plans import report, staged
 from pacegrid.queries.base import query
 from pacegrid.queries.stats import MODELS_SQL, prediction_log_of
 from pacegrid.session import settle, shared_dir
@@ -16,8 +16,8 @@ from pacegrid.sources.files import read_csv, write_csv
 LABEL = "l_extendedprice"
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
 CATEGORICAL = ["l_returnflag", "l_linestatus"]
-#: The published 3 x 3 x 4 search with fewer and smaller trees.
-SEARCH_SHAPE = M.parameter_grid(maxIter=(2, 3, 5), maxDepth=(2, 3, 4), stepSize=M.SEARCH_GRID["stepSize"])
+#: The published 3 x 3 x 4 search, its depths and rates as they are, its rounds scaled down.
+SEARCH_SHAPE = M.parameter_grid(**{**M.SEARCH_GRID, "maxIter": (20, 35, 50)})
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -125,7 +125,7 @@ def residual_stack(t):
 @query("grid_search_scores")
 def grid_search_scores(t):
     train, valid, _ = parts(t)
-    return M.fit_leaderboard(train, valid, LABEL, NUMERIC, CATEGORICAL, M.tree_candidates(LABEL, SEARCH_SHAPE)).table
+    return staged.search(train, valid, LABEL, NUMERIC, CATEGORICAL, SEARCH_SHAPE).table
 
 
 PARTS_SQL = """
