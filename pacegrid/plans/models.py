@@ -197,15 +197,17 @@ def fit_leaderboard(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     candidates: Mapping[str, object] | None = None,
+    linear: bool | None = None,
 ) -> Leaderboard:
     """Fit every candidate on assembled features and rank by log error on the validation rows.
 
     Rows without a label are left out of the fits; in the scores they, and rows without a log error,
     count as unscored. Independent fits run side by side, all candidates are scored in one pass.
+    ``linear`` says whether missing numbers and categories are coded as linear models need.
     """
     shared_dir(train.sparkSession)
-    linear = candidates is None
-    candidates = glm_candidates(label) if linear else candidates
+    linear = candidates is None if linear is None else linear
+    candidates = glm_candidates(label) if candidates is None else candidates
     check_categories(train, categorical)
     plan = feature_stages(numeric, categorical, "mean" if linear else "low", one_hot=linear)
 

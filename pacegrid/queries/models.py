@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from pacegrid.functions.numbers import rounded
 from pacegrid.plans import models as M
-from pacegrid.plans import report, staged
+from pacegrid.plans import path, report, staged
 from pacegrid.queries.base import query
 from pacegrid.queries.stats import MODELS_SQL, prediction_log_of
 from pacegrid.session import settle, shared_dir
@@ -37,10 +37,10 @@ def csv_roundtrip(t):
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice")).alias("o_totalprice"),
     )
-    path = f"{shared_dir(t.spark)}/csv-{uuid4().hex}"
-    write_csv(df, path)
+    folder = f"{shared_dir(t.spark)}/csv-{uuid4().hex}"
+    write_csv(df, folder)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-    return read_csv(t.spark, path, schema, sequence="_seq").drop("_seq")
+    return read_csv(t.spark, folder, schema, sequence="_seq").drop("_seq")
 
 
 @query(
@@ -90,7 +90,7 @@ def ols_fit(t):
 @query("glm_leaderboard")
 def glm_leaderboard(t):
     train, valid, _ = parts(t)
-    return M.fit_leaderboard(train, valid, LABEL, NUMERIC, CATEGORICAL).table
+    return path.fit_glm_board(train, valid, LABEL, NUMERIC, CATEGORICAL).table
 
 
 @query("gbt_fit_predict")
@@ -148,9 +148,9 @@ KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 )
 def model_save_load(t):
     train, valid, _ = parts(t)
-    path = f"{shared_dir(t.spark)}/model-{uuid4().hex}"
-    M.save_model(M.fit_linear(train, LABEL, ["l_quantity"]), path)
-    return M.load_model(path).transform(valid).select(*KEY, LABEL, rounded(F.col("predict"), 3).alias("predict"))
+    folder = f"{shared_dir(t.spark)}/model-{uuid4().hex}"
+    M.save_model(M.fit_linear(train, LABEL, ["l_quantity"]), folder)
+    return M.load_model(folder).transform(valid).select(*KEY, LABEL, rounded(F.col("predict"), 3).alias("predict"))
 
 
 @query(
