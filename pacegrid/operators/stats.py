@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pacegrid.functions.numbers import missing
 from pacegrid.operators.joins import lookup_join, salted_join
 from pacegrid.operators.ordered import Ordered, global_ordinal
+from pacegrid.operators.quantiles import summaries
 from pacegrid.operators.skew import large_groups
 from pacegrid.session import settle
 
@@ -34,38 +35,12 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, exact quartiles (linear interpolation), mean, maximum and missing count per column.
 
-    Values are counted first, so equal values travel once; quartiles are read off the running count.
+    Quartiles come from rounds of bucket counts, so no values are shuffled or stored.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = doubles.unpivot([], list(columns), "column", "value")
-    long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    # read for the totals, for group sizes and for the running count
-    counted = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    n, value = F.col("n"), F.col("value")
-    basics = counted.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("known"),
-        F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("missing"),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-        F.try_divide(F.sum(value * n), F.sum(F.when(value.isNotNull(), n))).alias("mean"),
-    )
-    upto = Ordered(counted.where(value.isNotNull()), ["column"], ["value"]).running_total("n", "upto").frame
-    # one row per column of the frame
-    placed = upto.join(F.broadcast(basics.select("column", "known")), "column")
-    reached = []
-    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        at = (F.col("known") - 1) * share
-        reached += [
-            F.min(F.when(F.col("upto") > F.floor(at), value)).alias(f"{name}_low"),
-            F.min(F.when(F.col("upto") > F.ceil(at), value)).alias(f"{name}_high"),
-        ]
-    corners = placed.groupBy("column").agg(*reached)
-    joined = basics.join(F.broadcast(corners), "column", "left")
-    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        at = (F.col("known") - 1) * share
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        joined = joined.withColumn(name, low + (at - F.floor(at)) * (high - low))
-    return joined.select("column", "minimum", "q1", "median", "mean", "q3", "maximum", "missing")
+    found = summaries(df, columns, (0.25, 0.5, 0.75))
+    rows = [(c, b.minimum, q1, median, b.mean, q3, b.maximum, b.missing) for c, (b, (q1, median, q3)) in zip(columns, found)]
+    kinds = "column string, minimum double, q1 double, median double, mean double, q3 double, maximum double, missing bigint"
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:

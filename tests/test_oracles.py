@@ -12,7 +12,6 @@ FITS = sorted(n for n, q in REGISTRY.items() if not q.sql)
 CUT = [
     "align_by_ordinal",
     "category_code",
-    "column_summary",
     "fill_down",
     "fill_updown",
     "grid_left_join",
