@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pacegrid.functions.numbers import rounded
+from pacegrid.operators.targets import ordered_target
 from pacegrid.plans import models as M
 from pacegrid.plans import staged
 from pacegrid.queries.base import query
@@ -95,3 +96,25 @@ def staged_search(t):
     table = table.select("model_id", rounded(F.col("rmsle"), 8).alias("rmsle"))
     # one row per grid point
     return table.withColumn("place", F.rank().over(Window.orderBy("rmsle")).cast("bigint"))
+
+
+@query(
+    "ordered_target_codes",
+    f"""{PARTS_SQL},
+    fit AS (SELECT * FROM p WHERE fitted),
+    prior AS (SELECT avg(l_extendedprice) AS m FROM fit),
+    sums AS (SELECT l_suppkey AS s, sum(l_extendedprice) AS y, count(*) AS n FROM fit GROUP BY 1),
+    before AS (
+      SELECT {KEY_SQL}, coalesce(sum(l_extendedprice) OVER w, 0) AS y, count(*) OVER w AS n FROM fit
+      WINDOW w AS (PARTITION BY l_suppkey ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), {KEY_SQL},
+                   l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    rest AS (
+      SELECT {KEY_SQL}, coalesce(y, 0) AS y, coalesce(n, 0) AS n FROM p LEFT JOIN sums ON s = l_suppkey WHERE NOT fitted)
+    SELECT {KEY_SQL}, round((y + 5 * m) / (n + 5), 3) AS code FROM (SELECT * FROM before UNION ALL SELECT * FROM rest), prior
+    """,
+)
+def ordered_target_codes(t):
+    """A supplier's mean price in the rows before, five rows of the overall mean coming first."""
+    _, _, df = parts(t)
+    coded = ordered_target(df, "l_suppkey", LABEL, "code", F.col("part") == "train", KEY, smoothing=5.0)
+    return coded.select(*KEY, rounded(F.col("code"), 3).alias("code"))

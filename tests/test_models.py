@@ -1,10 +1,13 @@
 """Fits against closed forms and simple baselines."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pacegrid.operators import stats
+from pacegrid.operators.targets import ordered_target
 from pacegrid.plans import models as M
 from pacegrid.plans import report
 
@@ -97,6 +100,32 @@ def test_codes_of_noise_say_nothing_about_held_out_rows(spark):
     assert coded.count() == 2000 and coded.where("code IS NULL").isEmpty()
 
 
+def test_running_codes_of_noise_say_nothing(spark):
+    """As above for the running mean, with one category on half the rows, cut or not."""
+    n = F.col("id")
+    noise = (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("y")
+    df = spark.range(2000).select("id", F.concat(F.lit("c"), F.when(n % 2 == 0, 0).otherwise(n % 500)).alias("c"), noise)
+    df = M.hash_split(df, ["id"], 0.8, "part")
+    coded = ordered_target(df, "c", "y", "code", F.col("part") == "train", ["id"]).cache()
+    for part in ("train", "valid"):
+        assert abs(coded.where(F.col("part") == part).agg(F.corr("code", "y")).first()[0]) < 0.12
+    assert coded.count() == 2000 and coded.where("code IS NULL").isEmpty() and coded.columns == [*df.columns, "code"]
+
+
+def test_running_codes(spark):
+    rows = [(1, "a", 1.0, True), (2, "a", 3.0, True), (3, "a", None, True), (4, "b", 9.0, False), (5, "a", 7.0, False), (6, None, 5.0, True), (7, None, 1.0, True), (8, "a", float("nan"), True)]
+    df = spark.createDataFrame(rows, "id int, c string, y double, fit boolean")
+    got = {r["id"]: r["code"] for r in ordered_target(df, "c", "y", "code", F.col("fit"), ["id"], smoothing=0.0).collect()}
+    overall = 2.5
+    order = sorted([1, 2, 6, 7], key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    labels = {1: 1.0, 2: 3.0, 6: 5.0, 7: 1.0}
+    for group in ((1, 2), (6, 7)):
+        first, second = sorted(group, key=order.index)
+        assert got[first] == pytest.approx(overall) and got[second] == pytest.approx(labels[first])
+    assert got[3] == got[5] == got[8] == pytest.approx(2) and got[4] == pytest.approx(overall)
+    assert ordered_target(df.limit(0), "c", "y", "code", F.col("fit"), ["id"]).count() == 0
+
+
 def test_target_codes(spark):
     rows = [(1, "a", 1.0, True), (2, "a", 3.0, True), (3, "a", None, True), (4, "b", 9.0, False), (5, "a", 7.0, False), (6, None, 5.0, True)]
     df = spark.createDataFrame(rows, "id int, c string, y double, fit boolean")

@@ -21,6 +21,7 @@ CUT = [
     "lag_lead_offset",
     "multi_key_inner_join",
     "nest_unnest",
+    "ordered_target_codes",
     "position_timeline",
     "repeat_ordinal",
     "row_block",
