@@ -107,13 +107,19 @@ def joined(texts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def neighbours(words: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors (their places and signs) of the words up to ``WINDOW`` away, per bucket."""
+    """Sums of the index vectors (their places and signs) of the words up to ``WINDOW`` away, per bucket.
+
+    Pairs of words are counted first, so an index vector is added once a pair, not once a place.
+    """
+    pairs = [words[:-away].astype(np.int64) * BUCKETS + words[away:] for away in range(1, WINDOW + 1)]
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = np.divmod(pairs, BUCKETS)
+    some = (a != NOTHING) & (b != NOTHING)
+    a, b, times = a[some], b[some], times[some]
     sums = np.zeros(BUCKETS * WIDTH)
-    for away in range(1, WINDOW + 1):
-        for own, other in ((words[away:], words[:-away]), (words[:-away], words[away:])):
-            row, at, sign = own.astype(np.int64) * WIDTH, places[other], signs[other]
-            for i in range(SPARSE):
-                sums += np.bincount(row + at[:, i], sign[:, i], BUCKETS * WIDTH)
+    for own, other in ((a, b), (b, a)):
+        cells = own[:, None] * WIDTH + places[other]
+        sums += np.bincount(cells.ravel(), (signs[other] * times[:, None]).ravel(), BUCKETS * WIDTH)
     return sums.reshape(BUCKETS, WIDTH)
 
 
