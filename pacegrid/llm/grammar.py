@@ -10,6 +10,7 @@ others. The files are a Parquet table, so any store that Spark writes to will do
 from __future__ import annotations
 
 from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -160,15 +161,20 @@ def write(docs: DataFrame, path: str, folder: str | None = None, cutter: str = "
     return folder
 
 
-def read(spark, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document in the files (ids as 32-bit bytes)."""
+def read(spark, folder: str, whole: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, ids`` of every document in the files (ids as 32-bit bytes).
+
+    The checksum is taken of the ids as read, in the task that reads them; ``ids`` themselves are left
+    out unless ``whole``.
+    """
     files = spark.read.parquet(folder)
     # one row per shard: at most as many as there were partitions
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
     kind = files.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    schema = schema.add("ids", T.BinaryType()) if whole else schema
 
     def decode(batches):
         import pyarrow as pa
@@ -182,12 +188,14 @@ def read(spark, folder: str) -> DataFrame:
                 ends = np.asarray(row["ends"], np.int64)
                 starts = np.r_[0, ends[:-1]]
                 cuts = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+                sums = pa.array(list(map(crc32, cuts)), pa.int64())
                 kind_ = batch.schema.field("doc_ids").type.value_type
-                arrays = [pa.array([row["shard"]] * len(cuts), pa.int64()), pa.array(row["doc_ids"], kind_), pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(cuts, pa.binary())]
+                arrays = [pa.array([row["shard"]] * len(cuts), pa.int64()), pa.array(row["doc_ids"], kind_), pa.array(starts + row["start"]), pa.array(ends - starts), sums]
+                arrays += [pa.array(cuts, pa.binary())] if whole else []
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     rows = files.mapInArrow(decode, schema).join(F.broadcast(before), F.col("shard") == F.col("__shard"))
-    return rows.select("doc_id", (F.col("start") + F.col("__before")).alias("start"), "n_tokens", "ids")
+    return rows.select("doc_id", (F.col("start") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if whole else []))
 
 
 def document(spark, folder: str, doc_id) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from pacegrid.llm import (
     audit,
@@ -56,7 +55,7 @@ def op6_exact_dedup(spark, folder):
 def op7_token_files(spark, folder):
     ship(spark)
     files = grammar.write(table(spark, folder, "documents"), PATH("byte_bpe_50k.json"))
-    return grammar.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return grammar.read(spark, files, whole=False)
 
 
 def op8_nearest_neighbours(spark, folder):
