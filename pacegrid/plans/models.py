@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.operators.joins import lookup_join
+from pacegrid.operators.ordered import global_ordinal
+from pacegrid.operators.quantiles import basics, order_statistics
 from pacegrid.operators.sets import tagged_union
 from pacegrid.operators.stats import rmsle_by_group, squared_log_error
 from pacegrid.session import settle, shared_dir
@@ -37,6 +40,30 @@ def hash_split(df: DataFrame, keys: Sequence[str], share: float, out: str) -> Da
     return df.withColumn(out, F.when(bucket < round(share * 100), "train").otherwise("valid"))
 
 
+def exact_split(df: DataFrame, keys: Sequence[str], share: float, out: str) -> DataFrame:
+    """Mark exactly ``floor(share * rows + 0.5)`` rows train, those of the smallest key hashes, the rest valid.
+
+    The hash that parts them is found by counting (see ``quantiles``), so no rows are sorted. Rows that
+    share it are told apart by their keys; rows of equal keys by chance.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    # 52 bits, which a double holds exactly
+    df = df.withColumn("__hash", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double"))
+    hashes = df.select(F.col("__hash").alias("c0"))
+    facts = basics(hashes)
+    wanted = math.floor(share * facts[0].known + 0.5)
+    if not 0 < wanted < facts[0].known:
+        return df.withColumn(out, F.lit("train" if wanted else "valid")).drop("__hash")
+    last = order_statistics(hashes, facts, {0: [wanted - 1]})[0, wanted - 1]
+    below, same = hashes.agg(F.count_if(F.col("c0") < last), F.count_if(F.col("c0") == last)).first()
+    if below + same == wanted:
+        return df.withColumn(out, F.when(F.col("__hash") <= last, "train").otherwise("valid")).drop("__hash")
+    tied = global_ordinal(df.where(F.col("__hash") == last), list(keys), "__n")
+    tied = tied.withColumn(out, F.when(F.col("__n") <= wanted - below, "train").otherwise("valid")).drop("__n")
+    rest = df.where(F.col("__hash") != last).withColumn(out, F.when(F.col("__hash") < last, "train").otherwise("valid"))
+    return rest.unionByName(tied).drop("__hash")
+
+
 def parameter_grid(**values: Sequence) -> list[dict]:
     """All combinations of the given parameter values."""
     return [dict(zip(values, point)) for point in product(*values.values())]

@@ -73,6 +73,45 @@ def prediction_density(t):
     return report.prediction_density(prediction_log_of(t), "predict", bins=25)
 
 
+@query(
+    "prediction_curve",
+    f"""
+    WITH m AS ({MODELS_SQL}),
+    s AS (
+      SELECT model, count(*) AS n, min(predict) AS lo, max(predict) AS hi,
+             0.9 * coalesce(nullif(least(stddev_samp(predict), (quantile_cont(predict, 0.75) - quantile_cont(predict, 0.25)) / 1.34), 0),
+               nullif(stddev_samp(predict), 0), nullif(abs(min(predict)), 0), 1) * pow(count(*), -0.2) AS width
+      FROM m GROUP BY model),
+    g AS (SELECT model, n, width, lo - 3 * width AS low, (hi - lo + 6 * width) / 63 AS step FROM s),
+    b AS (
+      SELECT model, pos, least(floor(pos), 62)::INT AS j FROM (SELECT m.model, (predict - low) / step AS pos FROM m JOIN g ON m.model = g.model)),
+    w AS (
+      SELECT model, j, sum(w) AS w FROM (
+        SELECT model, j, 1 - (pos - j) AS w FROM b UNION ALL SELECT model, j + 1, pos - j FROM b) GROUP BY ALL)
+    SELECT g.model, point, round(any_value(low + point * step), 3) AS x,
+           round(sum(w * exp(-pow((point - j) * step / width, 2) / 2)) / any_value(n * width * sqrt(2 * pi())), 12) AS density
+    FROM g, (SELECT unnest(range(64))::INT AS point), w WHERE w.model = g.model GROUP BY g.model, point
+    """,
+)
+def prediction_curve(t):
+    curve = report.density_curve(prediction_log_of(t), "predict", points=64)
+    return curve.withColumns({"x": rounded(F.col("x"), 3), "density": rounded(F.col("density"), 12)})
+
+
+@query(
+    "split_exact",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           CASE WHEN row_number() OVER (ORDER BY CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 13) AS BIGINT),
+                  l_orderkey, l_linenumber, l_partkey, l_suppkey) <= floor(0.8::DOUBLE * count(*) OVER () + 0.5)
+                THEN 'train' ELSE 'valid' END AS part
+    FROM lineitem
+    """,
+)
+def split_exact(t):
+    return M.exact_split(t.lineitem.select(*KEY), KEY, 0.8, "part")
+
+
 def parts(t):
     df = t.lineitem.select(*KEY, LABEL, *NUMERIC, *CATEGORICAL)
     # read by every fit and score below
