@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.operators.joins import lookup_join
 from pacegrid.operators.ordered import global_ordinal
-from pacegrid.operators.quantiles import basics, order_statistics
+from pacegrid.operators.quantiles import basics, order_statistics, summaries
 from pacegrid.operators.sets import tagged_union
 from pacegrid.operators.stats import rmsle_by_group, squared_log_error
 from pacegrid.session import settle, shared_dir
@@ -181,6 +181,26 @@ def linear_summary(model: PipelineModel, fitted_on: DataFrame) -> DataFrame:
     return fitted_on.sparkSession.createDataFrame(list(rows), kinds)
 
 
+def fit_summary(model: PipelineModel, fitted_on: DataFrame, label: str, prediction: str = "predict") -> DataFrame:
+    """One row on a fitted linear model: residual quartiles, residual error, R2, adjusted R2, F and degrees of freedom.
+
+    Rows with a missing predictor or label, which the fit left out, count nowhere.
+    """
+    scored = model.transform(fitted_on.where(F.col(label).isNotNull()))
+    scored = scored.withColumn("__r", F.col(label) - F.col(prediction)).where(~F.isnan("__r") & F.col("__r").isNotNull())
+    (spread, (q1, median, q3)), = summaries(scored, ["__r"], (0.25, 0.5, 0.75))
+    n, unexplained, total = scored.agg(F.count("__r"), F.sum(F.col("__r") ** 2), F.var_pop(label) * F.count("__r")).first()
+    terms = model.stages[-1].coefficients.size
+    free = n - terms - 1
+    r2 = 1 - unexplained / total if total else None
+    adjusted = 1 - (1 - r2) * (n - 1) / free if r2 is not None and free > 0 else None
+    ratio = (r2 / terms) / ((1 - r2) / free) if r2 is not None and r2 < 1 and free > 0 else None
+    error = math.sqrt(unexplained / free) if unexplained is not None and free > 0 else None
+    row = (spread.minimum, q1, median, q3, spread.maximum, error, r2, adjusted, ratio, terms, free)
+    kinds = ", ".join(f"{c} double" for c in ("min", "q1", "median", "q3", "max", "residual_error", "r2", "adjusted_r2", "f_value"))
+    return fitted_on.sparkSession.createDataFrame([row], f"{kinds}, terms bigint, free bigint")
+
+
 def _vector_names(df: DataFrame, column: str) -> list[str]:
     attributes = df.schema[column].metadata["ml_attr"]["attrs"]
     flat = [a for kind in attributes.values() for a in kind]

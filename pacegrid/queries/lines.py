@@ -1,12 +1,18 @@
 """Penalised lines on one predictor, where every candidate of the path has a closed form."""
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pacegrid.functions.numbers import rounded
-from pacegrid.plans import path
+from pacegrid.plans import models as M
+from pacegrid.plans import path, race
 from pacegrid.queries.base import query
 from pacegrid.queries.models import CATEGORICAL, KEY, KEY_SQL, LABEL, NUMERIC, PARTS_SQL, parts
+from pacegrid.session import shared_dir
+from pacegrid.sources.files import read_csv, write_csv
 
 MIXES, SHARES = (0.0, 0.5, 1.0), (1.5, 0.5, 0.1, 0.0)
 
@@ -85,3 +91,40 @@ def penalty_path(t):
     """The whole path of each mix over all predictors."""
     train, valid, _ = parts(t)
     return path.fit_path(train, valid, LABEL, NUMERIC, CATEGORICAL).table
+
+
+@query(
+    "line_summary",
+    f"""{PARTS_SQL},
+    r AS (SELECT l_extendedprice - a * l_quantity - b AS r FROM p, line WHERE fitted),
+    f AS (SELECT regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM p WHERE fitted)
+    SELECT round(min(r), 3) AS min, round(quantile_cont(r, 0.25), 3) AS q1, round(quantile_cont(r, 0.5), 3) AS median,
+           round(quantile_cont(r, 0.75), 3) AS q3, round(max(r), 3) AS max, round(sqrt(sum(r * r) / (any_value(n) - 2)), 3) AS residual_error,
+           round(any_value(r2), 8) AS r2, round(1 - (1 - any_value(r2)) * (any_value(n) - 1) / (any_value(n) - 2), 8) AS adjusted_r2,
+           round(any_value(r2) / (1 - any_value(r2)) * (any_value(n) - 2), 3) AS f_value, CAST(1 AS BIGINT) AS terms, any_value(n) - 2 AS free
+    FROM r, f
+    """,
+)
+def line_summary(t):
+    train, _, _ = parts(t)
+    table = M.fit_summary(M.fit_linear(train, LABEL, ["l_quantity"]), train, LABEL)
+    digits = {c: 8 if c.endswith("r2") else 3 for c, kind in table.dtypes if kind == "double"}
+    return table.withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
+
+
+@query(
+    "submission",
+    f"""{PARTS_SQL}
+    SELECT concat_ws('|', {KEY_SQL}) AS LAP_KEY, round(a * l_quantity + b, 3) AS LAP_TIME FROM p, line WHERE NOT fitted
+    """,
+)
+def submission(t):
+    """Predictions handed in as a file, and the file read again."""
+    train, valid, _ = parts(t)
+    predicted = M.fit_linear(train, LABEL, ["l_quantity"]).transform(valid)
+    named = predicted.withColumn("LAP_KEY", F.concat_ws("|", *[F.col(k).cast("string") for k in KEY]))
+    folder = f"{shared_dir(t.spark)}/submission-{uuid4().hex}"
+    write_csv(race.submission(named.select("LAP_KEY", "predict")), folder)
+    schema = T.StructType([T.StructField("LAP_KEY", T.StringType()), T.StructField("LAP_TIME", T.DoubleType())])
+    read = read_csv(t.spark, folder, schema, sequence="_seq").drop("_seq")
+    return read.withColumn("LAP_TIME", rounded(F.col("LAP_TIME"), 3))
