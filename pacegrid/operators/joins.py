@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.operators.ordered import global_ordinal
-from pacegrid.operators.skew import large_groups, limits, same_keys
+from pacegrid.operators.skew import Profile, large_groups, limits, same_keys
+from pacegrid.session import Size
 
 LOOKUP_ROWS = 100_000
 LOOKUP_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES) -> bool:
-    """Whether the frame is really small: counted, not estimated."""
+def fits_broadcast(df: DataFrame, rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES, known: Size | None = None) -> bool:
+    """Whether the frame is really small: counted, not estimated. ``known`` is a bound counted before."""
+    if known and known.rows <= rows and known.bytes <= size:
+        return True
     seen = df.limit(rows + 1).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))).alias("b")
     )
@@ -60,19 +63,22 @@ def salted_join(
     return _equi(salted, copies, [*on, "__salt"], how).drop("__salt")
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(
+    left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", known: Size | None = None
+) -> DataFrame:
     """Join a lookup table: broadcast if counting shows it is small, else salted by the left side's keys."""
-    if fits_broadcast(lookup):
+    if fits_broadcast(lookup, known=known):
         return _equi(left, F.broadcast(lookup), on, how)
     return salted_join(left, lookup, on, how)
 
 
-def grid_join(grid: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
+def grid_join(grid: DataFrame, observed: DataFrame, on: Sequence[str], known: Profile | None = None) -> DataFrame:
     """All rows of a grid with unique keys, with the observations of the same key where there are any.
 
     A left join cannot divide a hot key of its right side; then matches and gaps are built apart.
+    ``known`` tells of the observations' keys.
     """
-    if not large_groups(observed, on):
+    if not large_groups(observed, on, known):
         return _equi(grid, observed, on, "left")
     matched = salted_join(observed, grid, on, "inner")
     seen = observed.select(*[F.col(k).alias(f"__r_{k}") for k in on]).distinct()
@@ -82,13 +88,13 @@ def grid_join(grid: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFr
 
 
 def time_bucket_join(
-    moments: DataFrame, grid: DataFrame, on: Sequence[str], bucket: tuple[str, str]
+    moments: DataFrame, grid: DataFrame, on: Sequence[str], bucket: tuple[str, str], known: Size | None = None
 ) -> DataFrame:
     """Give each moment the grid row of its running minute; ``bucket`` names the minute on both sides."""
     left_name, right_name = bucket
     renamed = grid.withColumn(left_name, F.col(right_name).cast("int")).drop(right_name)
     left = moments.withColumn(left_name, F.col(left_name).cast("int"))
-    return lookup_join(left, renamed, [*on, left_name])
+    return lookup_join(left, renamed, [*on, left_name], known=known)
 
 
 def align_by_ordinal(

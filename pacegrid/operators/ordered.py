@@ -13,15 +13,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacegrid.operators.skew import PIECE, Groups, limits, plan_groups, same_keys
+from pacegrid.operators.skew import PIECE, Groups, Profile, limits, plan_groups, same_keys
 
 #: Rows near cuts are broadcast up to this number.
 BROADCAST_ROWS = 100_000
 
 
 class Ordered:
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], groups: Groups | None = None):
-        self.groups = groups or plan_groups(df, keys, order)
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        groups: Groups | None = None,
+        known: Profile | None = None,
+    ):
+        self.groups = groups or plan_groups(df, keys, order, known)
         self.keys = list(self.groups.keys)
         self._df = df if PIECE in df.columns else self.groups.attach(df)
 

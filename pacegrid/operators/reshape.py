@@ -55,7 +55,13 @@ def minute_grid(
     ``T_IDX`` counts minutes within (keys, calendar date), so it starts anew past midnight;
     ``index_by="session"`` counts through.
     """
-    starts = session_starts(df, keys, day, clock)
+    return minutes_of(session_starts(df, keys, day, clock), keys, clock, minutes, index_by)
+
+
+def minutes_of(
+    starts: DataFrame, keys: Sequence[str], clock: str, minutes: int = 60, index_by: str = "date"
+) -> DataFrame:
+    """The grid of sessions whose starts are known, as ``session_starts`` gives them."""
     last = F.col("__start") + F.expr(f"INTERVAL {minutes - 1} MINUTES")
     ticks = F.sequence(F.col("__start"), last, F.expr("INTERVAL 1 MINUTE"))
     grid = starts.withColumn(clock, F.explode(ticks)).drop("__start")

@@ -10,7 +10,7 @@ literals: every branch of a plan, and every retried task, sees the same pieces.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,14 +42,48 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: st
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys])
 
 
-def large_groups(df: DataFrame, keys: Sequence[str]) -> list:
+@dataclass(frozen=True)
+class Profile:
+    """What is known of a frame's keys: no group of ``keys`` holds more rows than ``bounds[keys]``.
+
+    It stays true for finer keys, for rows filtered out of the frame, and for frames that add columns
+    to its rows or join at most one row to each. The empty key set stands for the whole table.
+    """
+
+    bounds: Mapping[tuple[str, ...], int]
+
+    def most(self, keys: Sequence[str]) -> int | None:
+        """The least known bound for groups of ``keys``."""
+        return min((n for own, n in self.bounds.items() if set(own) <= set(keys)), default=None)
+
+
+def _bucket(keys: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS * parts))
+
+
+def profile(df: DataFrame, *key_sets: Sequence[str]) -> Profile:
+    """Bounds for several key sets from one pass: rows per hash bucket of each, combined before the shuffle."""
+    _, parts = limits(df)
+    buckets = [F.struct(F.lit(i).alias("i"), _bucket(keys, parts).alias("b")) for i, keys in enumerate(key_sets)]
+    counts = df.select(F.explode(F.array(*buckets)).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per key set
+    seen = counts.groupBy("__h.i").agg(F.max("__n").alias("most"), F.sum("__n").alias("rows")).collect()
+    most = {r["i"]: r["most"] for r in seen}
+    rows = max((r["rows"] for r in seen), default=0)
+    return Profile({(): rows} | {tuple(keys): most.get(i, 0) for i, keys in enumerate(key_sets)})
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], known: Profile | None = None) -> list:
     """Keys (with their row counts) of the groups above the limit; at most ``parts`` rows.
 
     One pass counts rows per hash bucket, combined before its shuffle. A group above the limit lies in
     a bucket above it, so only the keys of such buckets, if there are any, are counted one by one.
+    Nothing is counted where ``known`` already rules such groups out.
     """
     rows, parts = limits(df)
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS * parts))
+    if known and (bound := known.most(keys)) is not None and bound <= rows:
+        return []
+    bucket = _bucket(keys, parts)
     counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
     limit = max(rows, (total or 0) // parts)
@@ -111,18 +145,18 @@ class Groups:
         return _order_value(self.order)
 
 
-def plan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Groups:
+def plan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], known: Profile | None = None) -> Groups:
     """Decide which groups need cutting. With no keys the whole table is one group."""
     keys, order = tuple(keys), tuple(order)
     most, parts = limits(df)
     if keys:
-        large = large_groups(df, keys)
+        large = large_groups(df, keys, known)
         if not large:
             return Groups(keys, order, None)
         names = df.sparkSession.createDataFrame(large, df.select(*keys).schema.add("__n", "long"))
         names = names.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
         rows = df.join(F.broadcast(names), same_keys(df, names, keys, "__k_"), "left_semi")
-    elif df.count() <= most:
+    elif (known.most(()) if known and () in known.bounds else df.count()) <= most:
         return Groups(keys, order, None)
     else:
         rows = df

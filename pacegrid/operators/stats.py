@@ -12,7 +12,7 @@ from pacegrid.functions.numbers import missing
 from pacegrid.operators.joins import lookup_join, salted_join
 from pacegrid.operators.ordered import Ordered, global_ordinal
 from pacegrid.operators.quantiles import summaries
-from pacegrid.operators.skew import large_groups
+from pacegrid.operators.skew import Profile, large_groups
 from pacegrid.session import settle
 
 
@@ -105,13 +105,13 @@ def target_encode(
     return joined.withColumn(out, F.coalesce(F.col(out), overall))
 
 
-def position(df: DataFrame, field: Sequence[str], elapsed: str, out: str) -> DataFrame:
+def position(df: DataFrame, field: Sequence[str], elapsed: str, out: str, known: Profile | None = None) -> DataFrame:
     """Rank within the field by elapsed time, equal times sharing the better rank, missing times last.
 
     In a field too large for one task the rank is one more than the number of rows with a smaller
     time: counts per distinct time are enough, and equal rows travel once.
     """
-    if not large_groups(df, field):
+    if not large_groups(df, field, known):
         rank = F.rank().over(Window.partitionBy(*field).orderBy(F.col(elapsed).asc_nulls_last())).cast("bigint")
         return df.withColumn(out, rank)
     times = df.groupBy(*field, elapsed).agg(F.count(F.lit(1)).alias("__n"))

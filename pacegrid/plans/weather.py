@@ -12,8 +12,9 @@ from pacegrid.operators import reshape
 from pacegrid.operators.joins import grid_join
 from pacegrid.operators.ordered import Ordered
 from pacegrid.operators.sets import union_by_name
+from pacegrid.operators.skew import Profile
 from pacegrid.operators.stats import session_bounds
-from pacegrid.session import settle
+from pacegrid.session import settle_sized
 
 PLACE = ["EVENT", "LOCATION"]
 MEASURES = ["AIR_TEMP", "TRACK_TEMP", "HUMIDITY", "PRESSURE_2", "WIND_SPEED", "WIND_DIRECTION", "RAIN"]
@@ -67,16 +68,19 @@ def minute_grid(weather: DataFrame, index_by: str = "date") -> DataFrame:
     return reshape.minute_grid(with_session_date(weather), PLACE, "TIME_UTC_DATE", "TIME_UTC_STR", 60, index_by)
 
 
-def weather_on_grid(grid: DataFrame, clean: DataFrame, sequence: Sequence[str] = ()) -> DataFrame:
+def weather_on_grid(
+    grid: DataFrame, clean: DataFrame, sequence: Sequence[str] = (), known: Profile | None = None
+) -> DataFrame:
     """Every grid minute with its readings; gaps take the place's mean or the reading before.
 
-    Readings sharing a minute all stay; ``sequence`` then names what orders them.
+    Readings sharing a minute all stay; ``sequence`` then names what orders them. ``known`` tells of the
+    readings' keys.
     """
     # read for the group sizes and for the windows
-    joined = settle(grid_join(grid, clean, [*PLACE, "TIME_UTC_STR"]))
+    joined, size = settle_sized(grid_join(grid, clean, [*PLACE, "TIME_UTC_STR"], known))
     order = ["ROW_N", "TIME_UTC_STR", "TIME_UTC_SECONDS", *sequence]
     filled = (
-        Ordered(joined, PLACE, order)
+        Ordered(joined, PLACE, order, known=Profile({(): size.rows}))
         .impute_mean(["AIR_TEMP", "TRACK_TEMP", "HUMIDITY", "PRESSURE_2"])
         .fill(["WIND_SPEED", "WIND_DIRECTION", "RAIN"], "down")
         .frame
@@ -85,6 +89,11 @@ def weather_on_grid(grid: DataFrame, clean: DataFrame, sequence: Sequence[str] =
     return filled.withColumns({"TIME_UTC_SECONDS": seconds, "T_SEC": F.col("T_IDX") * 60})
 
 
-def minute_weather(weather: DataFrame, index_by: str = "date", sequence: Sequence[str] = ()) -> DataFrame:
-    """From raw feed to the filled minute series; ``sequence`` orders readings of one minute and second."""
-    return weather_on_grid(minute_grid(weather, index_by), clean_weather(weather), sequence)
+def minute_weather(
+    weather: DataFrame, index_by: str = "date", sequence: Sequence[str] = (), known: Profile | None = None
+) -> DataFrame:
+    """From raw feed to the filled minute series; ``sequence`` orders readings of one minute and second.
+
+    ``known`` tells of the feed's keys, as cleaning keeps its rows.
+    """
+    return weather_on_grid(minute_grid(weather, index_by), clean_weather(weather), sequence, known)

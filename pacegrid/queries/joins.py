@@ -6,10 +6,11 @@ from pacegrid.functions.clock import minute_bucket
 from pacegrid.operators import joins as J
 from pacegrid.operators import sets as S
 from pacegrid.operators.ordered import Ordered
-from pacegrid.operators.reshape import session_starts
+from pacegrid.operators.reshape import minutes_of, session_starts
 from pacegrid.operators.skew import large_groups
 from pacegrid.queries.base import clock_text, query
 from pacegrid.queries.windows import GRID_SQL, event_grid
+from pacegrid.session import settle_sized
 
 
 @query(
@@ -88,11 +89,14 @@ def time_bucket_join(t):
     df = Ordered(df, ["user_id", "event_type"], ["ts", "event_id"]).running_total("step", "seconds").frame
     minute = minute_bucket(F.col("seconds")).alias("running_minute")
     moments = df.select("event_id", "event_type", F.to_date("ts").alias("d"), minute)
-    days = t.events.select("event_type", F.to_date("ts").alias("d"), "ts")
-    sessions = session_starts(days, ["event_type"], "d", "ts").select("event_type", "d", "ROW_N")
-    moments = J.lookup_join(moments, sessions, ["event_type", "d"]).drop("d")
-    grid = event_grid(t).where(F.col("DATE") == F.col("d")).select("event_type", "ROW_N", "T_IDX", "moment")
-    joined = J.time_bucket_join(moments, grid, ["event_type", "ROW_N"], ("running_minute", "T_IDX"))
+    days = t.events.select("event_type", F.date_trunc("minute", "ts").alias("moment"), F.to_date("ts").alias("d"))
+    starts, size = settle_sized(session_starts(days, ["event_type"], "d", "moment"))
+    sessions = starts.select("event_type", "d", "ROW_N")
+    moments = J.lookup_join(moments, sessions, ["event_type", "d"], known=size).drop("d")
+    grid = minutes_of(starts, ["event_type"], "moment")
+    grid = grid.where(F.col("DATE") == F.col("d")).select("event_type", "ROW_N", "T_IDX", "moment")
+    bound = size.times(60, 32)
+    joined = J.time_bucket_join(moments, grid, ["event_type", "ROW_N"], ("running_minute", "T_IDX"), bound)
     return joined.withColumnRenamed("ROW_N", "row_n").withColumn("moment", clock_text(F.col("moment")))
 
 

@@ -269,14 +269,16 @@ def param_grid(t):
 )
 def position_timeline(t):
     from pacegrid.operators.ordered import Ordered
+    from pacegrid.operators.skew import profile
     from pacegrid.queries.windows import LINE_ORDER
 
     car, lap = ["l_orderkey"], ["l_orderkey", "l_linenumber"]
     df = t.lineitem.select(*lap, *LINE_ORDER, F.col("l_quantity").cast("bigint").alias("lap_seconds"))
-    # one look at the cars serves their laps as well
-    found = Ordered(df, car, LINE_ORDER)
+    # one look serves the cars, their laps and the fields, which are finer than supplier and line
+    known = profile(df, car, ["l_suppkey", "l_linenumber"])
+    found = Ordered(df, car, LINE_ORDER, known=known)
     numbered = found.refine(lap, LINE_ORDER).number("row_n").frame
     df = found.refine(car, ["row_n", "l_linenumber"], numbered).running_total("lap_seconds", "elapsed").frame
     field = ["l_suppkey", "row_n", "l_linenumber"]
-    ranked = A.position(df, field, "elapsed", "position")
+    ranked = A.position(df, field, "elapsed", "position", known)
     return ranked.select(*lap, "row_n", "elapsed", "position")

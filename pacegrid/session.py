@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "pacegrid") -> SparkSession:
@@ -78,3 +81,34 @@ def settle(df: DataFrame) -> DataFrame:
         own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Size:
+    """Bounds of a table: it has no more rows and no more bytes."""
+
+    rows: int
+    bytes: int
+
+    def times(self, factor: int, extra: int = 0) -> Size:
+        """Bounds of a table with up to ``factor`` rows for each of these, each ``extra`` bytes wider."""
+        return Size(self.rows * factor, (self.bytes + extra * self.rows) * factor)
+
+
+def settle_sized(df: DataFrame) -> tuple[DataFrame, Size]:
+    """``settle``, with rows and bytes observed while they are written: no pass of its own.
+
+    A task that Spark runs twice may be observed twice, which leaves both numbers bounds from above.
+    """
+    seen = Observation()
+    texts = (T.StringType, T.BinaryType)
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    # 16 bytes hold any single value and its null mark
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, texts):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, nested):
+            width = width + 8 * F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    settled = settle(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")))
+    return settled, Size(seen.get["rows"], seen.get["bytes"] or 0)

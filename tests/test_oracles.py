@@ -22,11 +22,13 @@ CUT = [
     "multi_key_inner_join",
     "nest_unnest",
     "ordered_target_codes",
+    "permutation_importance",
     "position_timeline",
     "repeat_ordinal",
     "row_block",
     "running_total",
     "sector_clock",
+    "time_bucket_join",
 ]
 
 
