@@ -40,6 +40,11 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tile(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     """For each query its ``k`` nearest rows of the tile: ``[(score, vec_id), ...]``."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(query_ids, query, ids, x, k)
+
+
+def _tile(query_ids, query, ids, x, k):
     (a, sa, ea), (b, sb, eb) = rounded(query), rounded(x)
     # products of int8 sum up exactly in a float32 to 1,040 dimensions, in a float64 beyond
     kind = np.float32 if query.shape[1] <= 1040 else np.float64
@@ -47,10 +52,14 @@ def tile(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, x: np.ndarra
     na = (a.astype(np.float64) ** 2).sum(1) * sa**2
     nb = (b.astype(np.float64) ** 2).sum(1) * sb**2
     square = na[:, None] + nb[None, :] - 2 * dots * sa[:, None] * sb[None, :]
-    # rounding of the sum itself, relative to its terms
-    near = np.sqrt(np.maximum(square, 0) + 1e-12 * (na[:, None] + nb[None, :]))
-    low = np.sqrt(np.maximum(square - 1e-12 * (na[:, None] + nb[None, :]), 0)) - ea[:, None] - eb[None, :]
+    # rounding of the sum itself, relative to its terms or at the least double
+    loose = 1e-12 * (na[:, None] + nb[None, :]) + np.finfo(float).tiny * query.shape[1]
+    near = np.sqrt(np.maximum(square, 0) + loose)
+    low = np.sqrt(np.maximum(square - loose, 0)) - ea[:, None] - eb[None, :]
     high = near + ea[:, None] + eb[None, :]
+    # squares beyond double say nothing: such pairs are computed again
+    lost = ~np.isfinite(square) | np.isnan(low)
+    low[lost], high[lost] = -np.inf, np.inf
     own = query_ids[:, None] == ids[None, :]
     high[own], low[own] = np.inf, np.inf
     answers = []

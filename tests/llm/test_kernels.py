@@ -115,3 +115,18 @@ def test_anchors_are_needed_by_every_template():
             pairs = licence._pairs(notice)
             left = [p for p in pairs if not any(w in p for w in words)]
             assert len(left) < licence.CONFIRM * len(pairs)
+
+
+def test_tile_with_squares_beyond_double():
+    """Vectors whose squares overflow, or vanish, still have their nearest, as a plain loop finds them."""
+    from pacegrid.llm.nearest import tile
+
+    rng = np.random.default_rng(5)
+    for scale in (1e200, 1e154, 1e-170):
+        x = rng.normal(size=(60, 8))
+        x[:40] *= scale
+        ids = np.arange(60)
+        with np.errstate(over="ignore"):
+            plain = np.sqrt(sum((x[None, :, d] - x[:5, None, d]) ** 2 for d in range(8)))
+        for i, found in enumerate(tile(ids[:5], x[:5], ids, x, 10)):
+            assert found == sorted((s, v) for s, v in zip(plain[i].tolist(), ids.tolist()) if v != i)[:10]
