@@ -29,6 +29,8 @@ WINDOW, STEP = 60, 30
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License 2.0.",
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
@@ -36,6 +38,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "This project is licensed under the terms of the MIT license.",
+        "MIT License",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -59,14 +62,36 @@ TEMPLATES = {
     ],
     "isc": [
         "Released under the ISC License.",
+        "ISC License",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "bsd-2-clause": [
         "Released under the BSD 2-Clause License.",
+        "BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ],
     "bsd-3-clause": [
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "BSD 3-Clause License",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "0bsd": [
+        "Released under the BSD Zero Clause License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ],
+    "zlib": [
+        "Released under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ],
+    "unlicense": [
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+    ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
     ],
     "mpl-2.0": [
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -104,7 +129,7 @@ TEMPLATES = {
 
 #: Word pairs that tell a family from its kin: a template that has one of its family's confirms nothing without it.
 TELLS = {
-    "apache-2.0": ["apache license", "version 2.0", "licenses license-2.0"],
+    "apache-2.0": ["apache license", "version 2.0", "license 2.0", "licenses license-2.0"],
     "mit": ["mit license"],
     "gpl-3.0": ["gnu general", "version 3"],
     "gpl-2.0": ["gnu general", "version 2"],
@@ -114,6 +139,10 @@ TELLS = {
     "isc": ["isc license"],
     "bsd-2-clause": ["bsd 2-clause"],
     "bsd-3-clause": ["bsd 3-clause"],
+    "0bsd": ["bsd zero"],
+    "zlib": ["zlib license", "commercial applications", "held liable"],
+    "unlicense": ["the unlicense", "unencumbered software"],
+    "epl-2.0": ["eclipse public", "license 2.0", "v 2.0"],
     "mpl-2.0": ["mozilla public", "version 2.0", "v 2.0"],
     "cc-by-nc-4.0": ["by-nc 4.0", "attribution-noncommercial 4.0"],
     "cc-by-sa-4.0": ["by-sa 4.0", "attribution-sharealike 4.0"],
@@ -121,7 +150,15 @@ TELLS = {
     "cc-by-nd-4.0": ["by-nd 4.0", "attribution-noderivatives 4.0"],
     "cc-by-4.0": ["by 4.0", "attribution 4.0"],
     "cc0-1.0": ["cc0 1.0"],
+    "proprietary": ["no part"],
 }
+#: Texts that hold another family's words whole: where both are found, the words that they share are the latter's.
+#: The third clause makes BSD-3 of BSD-2, and the demand to keep the notice makes ISC of 0BSD.
+WITHIN = {"bsd-2-clause": "bsd-3-clause", "0bsd": "isc"}
+#: Templates of so few pairs are headings: only in a line of few words do they confirm.
+HEADING, HEADED = 4, 8
+#: Families whose words also stand in the notices of others, as the rights reserved in a copyright line.
+SHARED = (*WITHIN, "proprietary")
 #: The families' names are SPDX identifiers; a tag names them outright, in so many words after it at most.
 TAG, TAGGED = "spdx-license-identifier", 12
 
@@ -164,10 +201,10 @@ def grams(found: Column, longest: int = 3) -> Column:
     return F.concat(*[of(n) for n in range(1, longest + 1)])
 
 
-def _paragraphs(spark: SparkSession) -> DataFrame:
+def _paragraphs(spark: SparkSession, sentences: list[str] = PROSE) -> DataFrame:
     """Training paragraphs: templates whole, beginnings and endings of them, among prose, and prose alone."""
     rows = []
-    prose = [s.lower().split() for s in PROSE]
+    prose = [s.lower().split() for s in sentences]
     for family, notices in TEMPLATES.items():
         for notice in notices:
             own = notice.split()
@@ -226,14 +263,21 @@ class Classifier:
     def __init__(self, spark: SparkSession):
         self.families = [UNKNOWN, *TEMPLATES]
         place = F.create_map(*[x for i, f in enumerate(self.families) for x in (F.lit(f), F.lit(float(i)))])
-        rows = _paragraphs(spark).withColumn("grams", grams(words(F.col("text")))).withColumn("label", place[F.col("family")])
-        late = F.pmod(F.xxhash64("i"), F.lit(5)) == 0
-        self.vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2).fit(rows)
-        rows = self.vocabulary.transform(rows).select("label", "features", late.alias("late"))
         learner = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.5, family="multinomial")
-        tried = learner.fit(rows.where("not late")).transform(rows.where("late"))
-        self.needed = self._calibrated(tried)
-        self.model = learner.fit(rows)
+
+        def counted(sentences: list[str]) -> DataFrame:
+            rows = _paragraphs(spark, sentences).withColumn("grams", grams(words(F.col("text"))))
+            return rows.withColumn("label", place[F.col("family")])
+
+        def fitted(rows: DataFrame):
+            vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2).fit(rows)
+            return vocabulary, learner.fit(vocabulary.transform(rows).select("label", "features"))
+
+        # whole sentences are kept out of the first fit, not other cuttings of those it has seen
+        vocabulary, first = fitted(counted([s for i, s in enumerate(PROSE) if i % 3]))
+        kept = vocabulary.transform(counted([s for i, s in enumerate(PROSE) if not i % 3]))
+        self.needed = self._calibrated(first.transform(kept))
+        self.vocabulary, self.model = fitted(counted(PROSE))
 
     @staticmethod
     def _calibrated(tried: DataFrame) -> float:
@@ -244,10 +288,11 @@ class Classifier:
         return max(0.5, min(0.9, (1 + wrong) / 2))
 
     def classify(self, windows: DataFrame) -> DataFrame:
-        """A row with ``family``, ``probability`` and ``overlap`` for each family confirmed in a row of ``windows``.
+        """A row with ``family``, ``probability``, ``overlap`` and ``named`` for each family confirmed in a row of ``windows``.
 
         ``windows`` has an array of ``found`` words and a ``paragraph``, null for a window of a whole
-        text. Each family is held against unknown alone, so one window may hold several.
+        text. Each family is held against unknown alone, so one window may hold several. ``named`` is
+        false where nothing but words that other families' notices hold as well speaks for a family.
         """
         rows = self.model.transform(self.vocabulary.transform(windows.withColumn("grams", grams(F.col("found")))))
         after = F.slice("found", F.array_position("found", TAG).cast("int") + 1, F.lit(TAGGED))
@@ -259,13 +304,16 @@ class Classifier:
             pairs = _pairs(notice)
             tells = [F.array_contains("grams", t) for t in TELLS.get(family, []) if t in pairs]
             overlap = F.size(F.array_intersect("grams", F.array(*map(F.lit, pairs)))) / len(pairs)
+            if len(pairs) < HEADING:
+                tells = [*tells, F.col("paragraph").isNotNull() & (F.size("found") <= HEADED)]
             return F.when(reduce(lambda a, b: a & b, tells, F.lit(True)), overlap).otherwise(0.0)
 
         def confirmed(family: str, own: Column) -> Column:
             overlap = F.greatest(*[share(family, n) for n in TEMPLATES[family]], F.lit(0.0))
             named = F.arrays_overlap("tagged", F.array(*[F.lit(family + end) for end in ("", "-only", "-or-later")]))
             one = F.lit(1.0)
-            of = lambda p, o: F.struct(F.lit(family).alias("family"), p.alias("probability"), o.alias("overlap"))
+            told = F.arrays_overlap("grams", F.array(*map(F.lit, TELLS[family]))) | named if family in SHARED else F.lit(True)
+            of = lambda p, o: F.struct(F.lit(family).alias("family"), p.alias("probability"), o.alias("overlap"), told.alias("named"))
             return F.when(named, of(one, one)).when(own >= self.needed, of(own, overlap))
 
         # by a generator, so that a filter on its columns does not compute them again
@@ -274,7 +322,7 @@ class Classifier:
 
 
 def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """Confirmed notices: ``doc_id, mark, paragraph, window, family, probability, overlap, text``.
+    """Confirmed notices: ``doc_id, mark, paragraph, window, family, probability, overlap, named, text``.
 
     Paragraphs are the lines of a text, from 0, and, where there are several lines, the whole text
     with line feeds as blanks (``paragraph`` is null), as notices are often wrapped. One of more than
@@ -297,17 +345,36 @@ def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     return classifier.classify(rows).drop("found")
 
 
+def _settled_kin(found: DataFrame) -> DataFrame:
+    """Notices in shared words given to the family that the rest of the document tells, or to none."""
+    # one row per document and text, with at most the number of families
+    seen = found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
+        F.collect_set("family").alias("__all"), F.collect_set(F.when(F.col("named"), F.col("family"))).alias("__named")
+    )
+    rows = found.join(seen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    own = F.col("family")
+    unnamed = ~F.array_contains("__named", own)
+    family = own
+    for inner, outer in WITHIN.items():
+        family = F.when((own == inner) & unnamed & F.array_contains("__all", outer), F.lit(outer)).otherwise(family)
+    formality = (own == "proprietary") & unnamed & (F.size("__all") > 1)
+    return rows.where(~formality).withColumn("family", family).drop("__id", "__mark", "__all", "__named")
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """``doc_id, license, families, notices, probability, overlap`` for each row of ``docs``.
 
     ``license`` is the family of the surest confirmed notice (ties by name), or ``unknown``;
     ``families`` lists all found, sorted, joined by commas. ``notices`` adds up over the families the
-    lines that are notices or, if these are more, the places of the whole text that hold one. Null,
+    lines that are notices or, if these are more, the places of the whole text that hold one. Words
+    that a BSD-2 text shares with BSD-3, or 0BSD with ISC, count for the longer one where a document
+    has both and does not name the shorter; rights reserved beside another licence count for nothing.
+    Null,
     empty and blank texts are unknown with no notices and probability and overlap 0. Repeated rows
     stay repeated. Other columns are not read; no rows give no rows.
     """
     at = F.sort_array(F.collect_set(F.when(F.col("paragraph").isNull(), F.col("window"))))
-    found = notices(docs).groupBy("doc_id", "mark", "family").agg(
+    found = _settled_kin(notices(docs)).groupBy("doc_id", "mark", "family").agg(
         F.count_distinct("paragraph").alias("lines"),
         at.alias("at"),
         F.max(F.struct("probability", "overlap")).alias("surest"),
