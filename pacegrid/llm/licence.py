@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -345,20 +345,37 @@ def notices(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     return classifier.classify(rows).drop("found")
 
 
-def _settled_kin(found: DataFrame) -> DataFrame:
-    """Notices in shared words given to the family that the rest of the document tells, or to none."""
-    # one row per document and text, with at most the number of families
-    seen = found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
-        F.collect_set("family").alias("__all"), F.collect_set(F.when(F.col("named"), F.col("family"))).alias("__named")
+def _by_family(found: DataFrame) -> DataFrame:
+    """Notices of a document by family; those in shared words go to the family that the rest of it tells, or to none."""
+    each = found.groupBy("doc_id", "mark", "family", "named").agg(
+        F.collect_set("paragraph").alias("lines"),
+        F.collect_set(F.when(F.col("paragraph").isNull(), F.col("window"))).alias("at"),
+        F.max(F.struct("probability", "overlap")).alias("surest"),
+        F.max("probability").alias("probability"),
+        F.max("overlap").alias("overlap"),
+    )
+    # at most two rows for each family
+    document = Window.partitionBy("doc_id", "mark")
+    each = each.withColumns(
+        {
+            "__all": F.collect_set("family").over(document),
+            "__named": F.collect_set(F.when(F.col("named"), F.col("family"))).over(document),
+        }
     )
-    rows = found.join(seen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     own = F.col("family")
     unnamed = ~F.array_contains("__named", own)
     family = own
     for inner, outer in WITHIN.items():
         family = F.when((own == inner) & unnamed & F.array_contains("__all", outer), F.lit(outer)).otherwise(family)
     formality = (own == "proprietary") & unnamed & (F.size("__all") > 1)
-    return rows.where(~formality).withColumn("family", family).drop("__id", "__mark", "__all", "__named")
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return each.where(~formality).withColumn("family", family).groupBy("doc_id", "mark", "family").agg(
+        F.size(gathered("lines")).alias("lines"),
+        F.sort_array(gathered("at")).alias("at"),
+        F.max("surest").alias("surest"),
+        F.max("probability").alias("probability"),
+        F.max("overlap").alias("overlap"),
+    )
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -373,14 +390,7 @@ def licences(docs: DataFrame) -> DataFrame:
     empty and blank texts are unknown with no notices and probability and overlap 0. Repeated rows
     stay repeated. Other columns are not read; no rows give no rows.
     """
-    at = F.sort_array(F.collect_set(F.when(F.col("paragraph").isNull(), F.col("window"))))
-    found = _settled_kin(notices(docs)).groupBy("doc_id", "mark", "family").agg(
-        F.count_distinct("paragraph").alias("lines"),
-        at.alias("at"),
-        F.max(F.struct("probability", "overlap")).alias("surest"),
-        F.max("probability").alias("probability"),
-        F.max("overlap").alias("overlap"),
-    )
+    found = _by_family(notices(docs))
     # windows that follow each other overlap: one place
     places = F.size(F.filter("at", lambda w, i: F.coalesce(w - F.get("at", i - 1) > 1, F.lit(True))))
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
