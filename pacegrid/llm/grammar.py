@@ -23,17 +23,21 @@ from pacegrid.session import shared_dir
 
 #: Ids of a block, rounds, rules of a round, uses that make a pair worth a rule.
 BLOCK, ROUNDS, RULES, LEAST = 1 << 20, 5, 2048, 16
-_SLOTS, _MIX = 17, np.uint64(0x9E3779B97F4A7C15)
+_SLOTS, _MIX = 17, 0x9E3779B97F4A7C15
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (pairs of symbols), and the number that the first rule has as a symbol."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    symbols, found, after = ids.astype(np.int64), [], first
+    symbols, found, after = ids.astype(np.uint32), [], first
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = symbols[:-1] << 32 | symbols[1:]
+        # a pair is one number, of half the width while symbols are small: the largest is no pair
+        kind, bits = (np.uint32, 16) if after < 1 << 16 else (np.uint64, 32)
+        mix, low = kind(_MIX & np.iinfo(kind).max), kind((1 << bits) - 1)
+        numbers = symbols.astype(kind, copy=False)
+        pairs = numbers[:-1] << kind(bits) | numbers[1:]
         ordered = np.sort(pairs)
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         counts = np.diff(np.r_[starts, len(ordered)])
@@ -43,8 +47,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         often = often[np.argsort(-counts[often], kind="stable")[:rules]]
         chosen = ordered[starts[often]]
         # a slot per pair: of pairs in one slot the most frequent is taken now, others in a later round
-        slot = lambda keys: (keys.astype(np.uint64) * _MIX >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        table = np.full(1 << _SLOTS, -1, np.int64)
+        slot = lambda keys: (keys * mix >> kind(2 * bits - _SLOTS)).astype(np.intp)
+        table = np.full(1 << _SLOTS, np.iinfo(kind).max, kind)
         number = np.full(1 << _SLOTS, -1, np.int64)
         own = slot(chosen)[::-1]
         table[own], number[own] = chosen[::-1], np.arange(len(chosen))[::-1]
@@ -61,14 +65,14 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
             break
         hits, which = hits[worth[which]], which[worth[which]]
         renamed = np.cumsum(worth) - 1
-        found.append(chosen[worth])
+        found.append(np.stack([chosen[worth] >> kind(bits), chosen[worth] & low], 1).astype(np.int64))
         symbols[hits] = after + renamed[which]
         after += int(worth.sum())
         gone = np.zeros(len(symbols), bool)
         gone[hits + 1] = True
         symbols = symbols[~gone]
-    pairs = np.concatenate(found) if found else np.empty(0, np.int64)
-    return symbols, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1), first
+    rules = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return symbols.astype(np.int64), rules, first
 
 
 def expanded(rules: np.ndarray, first: int) -> np.ndarray:
