@@ -8,12 +8,14 @@ The order must be total within a group (add a unique column as the last one).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacegrid.operators.skew import PIECE, Groups, Profile, limits, plan_groups, same_keys
+from pacegrid.session import settle
 
 #: Rows near cuts are broadcast up to this number.
 BROADCAST_ROWS = 100_000
@@ -193,6 +195,27 @@ class Ordered:
         return self._with(filled.drop(*[f"__mean{i}" for i in range(len(columns))]))
 
 
-def global_ordinal(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Position of each row in the whole table, which is cut into pieces unless counting shows it is small."""
-    return Ordered(df, (), order).number(out).frame
+def global_ordinal(
+    df: DataFrame, order: Sequence[str], out: str, known: Profile | None = None, drop: Sequence[str] = ()
+) -> DataFrame:
+    """Position of each row in the whole table, without the columns of ``drop``.
+
+    A table beyond the bound is sorted by ranges and written once, each row with its place in its range;
+    what comes before a range is a sum over one count per range. ``known`` is a bound counted before.
+    """
+    most, parts = limits(df)
+    rows = known.most(()) if known else None
+    rows = df.count() if rows is None else rows
+    if rows <= most:
+        return Ordered(df, (), order, Groups((), tuple(order), None)).number(out).frame.drop(*drop)
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranged = df.repartitionByRange(max(parts, math.ceil(rows / most)), *by).sortWithinPartitions(*by).drop(*drop)
+    # the lower 33 bits count the rows of a partition
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    placed = settle(ranged.withColumns({out: local, "__range": F.spark_partition_id()}))
+    counts = placed.groupBy("__range").agg(F.max(out).alias("__n"))
+    # one row per range
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = placed.join(F.broadcast(before), "__range")
+    return numbered.withColumn(out, F.col(out) + F.col("__before")).drop("__range", "__before")

@@ -91,3 +91,13 @@ def test_lookup_beyond_the_bound_is_not_broadcast(spark, skewed):
     assert joins.fits_broadcast(small)
     assert not joins.fits_broadcast(skewed, rows=10)
     assert not joins.fits_broadcast(skewed, size=10)
+
+
+def test_ordinal_of_a_large_table_looks_up_no_cuts(spark, skewed, splitting):
+    """Ranges are sorted once: no row is compared with lists of cut values, and nulls come last."""
+    numbered = global_ordinal(skewed, ["late", "id"], "n", drop=["reading"])
+    assert numbered.columns == [*[c for c in skewed.columns if c != "reading"], "n"]
+    assert "lambda" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    rows = numbered.select("late", "id", "n").collect()
+    expected = sorted(rows, key=lambda r: (r["late"] is None, r["late"] or 0, r["id"]))
+    assert [r["n"] for r in expected] == list(range(1, 601))
