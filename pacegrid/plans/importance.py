@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.operators.ordered import Ordered
+from pacegrid.operators.ordered import global_ordinal
 from pacegrid.operators.skew import Profile
 from pacegrid.operators.stats import squared_log_error
 from pacegrid.session import settle_sized
@@ -22,7 +22,7 @@ def permuted(df: DataFrame, columns: Sequence[str], keys: Sequence[str], out: st
 
     Rows are numbered in two orders by hashes of their keys, and the n-th of one order gets the values of
     the n-th of the other. Rows of equal keys come in the order of their values. The orders are the
-    same in every run; another ``salt`` gives others. Whole tables are numbered in pieces, and the
+    same in every run; another ``salt`` gives others. Large tables are numbered by sorted ranges, and the
     numbers they are joined by are unique, so no key is hot.
     """
     rows, size = settle_sized(df)
@@ -31,10 +31,11 @@ def permuted(df: DataFrame, columns: Sequence[str], keys: Sequence[str], out: st
 
     def numbered(which: str) -> DataFrame:
         hashed = rows.withColumn("__order", F.md5(F.concat(F.lit(f"{salt}{which}|"), text)))
-        return Ordered(hashed, (), ["__order", *dict.fromkeys([*keys, *columns])], known=known).number("__row").frame
+        needless = ["__order", *[c for c in df.columns if which == "b" and c not in columns]]
+        return global_ordinal(hashed, ["__order", *dict.fromkeys([*keys, *columns])], "__row", known, needless)
 
     givers = numbered("b").select("__row", F.struct(*columns).alias(out))
-    return numbered("a").join(givers, "__row").drop("__row", "__order")
+    return numbered("a").join(givers, "__row").drop("__row")
 
 
 def permutation_importance(

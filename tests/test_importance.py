@@ -52,3 +52,11 @@ def test_odd_rows(spark, rows):
     odd = spark.createDataFrame([(None, 1.0, 1.0), (None, 1.0, 1.0), (1, None, 2.0), (2, 3.0, None)], "id int, x double, y double")
     table = permutation_importance(predict, odd, "y", ["x"], ["id"]).collect()
     assert [(r["feature"], r["scored"] + r["unscored"]) for r in table] == [("x", 4)]
+
+
+def test_large_tables_are_permuted_without_cut_lists(spark, splitting):
+    rows = spark.range(200).select("id", (F.col("id") * 3).alias("v"), F.lit(1.0).alias("y"))
+    other = permuted(rows, ["v"], ["id"], "__other")
+    assert "lambda" not in other._jdf.queryExecution().optimizedPlan().toString()
+    taken = other.select("id", "v", "__other.v").collect()
+    assert sorted(r[2] for r in taken) == sorted(r[1] for r in taken) and len(taken) == 200
