@@ -1,0 +1,66 @@
+"""Tree fits and their scores on merged rows are those on all rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pacegrid.plans import models as M
+from pacegrid.plans import staged
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    n = F.col("id")
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 50
+    df = spark.range(3000).select(
+        "id", (n % 7).cast("double").alias("x"), F.when(n % 5 > 0, n % 4).cast("double").alias("z"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (1 + n % 3).cast("int")).alias("kind"),
+        (10 + n % 7 * (1 + n % 3) + noise).alias("y"), (n % 11 < 3).alias("held_out"),
+    )
+    return df.withColumn("y", F.when(n % 97 == 5, F.lit(None)).when(n % 101 == 7, F.lit(-2.0)).otherwise(F.col("y")))
+
+
+def fits(lines):
+    train, valid = lines.where(~F.col("held_out")), lines.where("held_out")
+    stopped = M.fit_trees(lines, "y", ["x", "z"], ["kind"], valid="held_out", maxIter=12, maxDepth=3, stepSize=0.5)
+    best, curve = staged.fit_best_round(train, valid, "y", ["x", "z"], ["kind"], maxIter=6, maxDepth=3)
+    cells = lines.select("x", "z", "kind").distinct()
+    predicted = [sorted((str(r["x"]), str(r["z"]), r["kind"], r["predict"]) for r in m.transform(cells).collect()) for m in (stopped, best)]
+    importance = {r["feature"]: r["importance"] for r in M.feature_importance(best, lines).collect()}
+    rounds = [tuple(r) for r in curve.orderBy("round").collect()]
+    return [len(m.stages[-1].trees) for m in (stopped, best)], predicted, importance, rounds
+
+
+def test_merged_rows_fit_the_same_trees(spark, lines, monkeypatch):
+    plain = fits(lines)
+    sizes, whole = [], M.fit_on
+    monkeypatch.setattr(M, "MERGE_ROWS", 10)
+    monkeypatch.setattr(M, "fit_on", lambda trees, ready, merged: sizes.append((merged, ready.count())) or whole(trees, ready, merged))
+    merged = fits(lines)
+    assert all(m and n <= 400 for m, n in sizes) and len(sizes) == 2
+    assert merged[0] == plain[0]
+    for a, b in zip(merged[1], plain[1]):
+        assert [r[:3] for r in a] == [r[:3] for r in b]
+        assert [r[3] for r in a] == pytest.approx([r[3] for r in b], rel=1e-9)
+    assert merged[2] == pytest.approx(plain[2], rel=1e-6)
+    for a, b in zip(merged[3], plain[3]):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_rows_of_a_fit_are_bounded_per_task(spark, lines, monkeypatch):
+    """Features that do not repeat stay as they are, in as many tasks as their rows need."""
+    monkeypatch.setattr(M, "MERGE_ROWS", 10)
+    monkeypatch.setattr(M, "TASK_ROWS", 100)
+    known = lines.where("y IS NOT NULL").withColumn("x", F.col("id").cast("double"))
+    stages = staged._fitted_stages(known, ["x"], ["kind"])
+    ready, merged = M.tree_rows(stages, known, "y")
+    assert not merged and ready.rdd.getNumPartitions() >= 25
+    assert ready.count() == known.count()
+
+
+def test_fewer_merged_rows_than_bins(spark, lines, monkeypatch):
+    """A category alone leaves three rows, fewer than its codes."""
+    fit = lambda: M.fit_trees(lines, "y", [], ["kind"], maxIter=2, maxDepth=2)
+    cells = lines.select("kind").distinct().orderBy("kind")
+    plain = [r["predict"] for r in fit().transform(cells).collect()]
+    monkeypatch.setattr(M, "MERGE_ROWS", 10)
+    assert [r["predict"] for r in fit().transform(cells).collect()] == pytest.approx(plain, rel=1e-9)
