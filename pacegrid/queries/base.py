@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacegrid.session import use_utc
+from pacegrid.session import compile_whole, use_utc
 
 
 class Tables:
@@ -39,6 +39,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             use_utc(spark)
+            compile_whole(spark)
             return fn(Tables(spark, folder))
 
         REGISTRY[name] = Query(run, sql)

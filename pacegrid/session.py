@@ -52,6 +52,14 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def compile_whole(spark: SparkSession) -> None:
+    """Wide rows give generated methods above the 8,000 bytes that the JVM compiles; it would interpret them row by row.
+
+    With this limit Spark runs such a stage as smaller pieces, which are compiled.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read and write.
 
