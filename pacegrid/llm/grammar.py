@@ -84,7 +84,19 @@ def expanded(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for: each rule is expanded once, unless there are fewer symbols than that would give ids."""
+    sizes = expanded(rules, first)
+    if not len(rules) or first + sizes.sum() > len(symbols):
+        return _unfolded(symbols, rules, first)
+    flat = np.r_[np.arange(first), _unfolded(np.arange(first, first + len(rules)), rules, first)]
+    wide = np.r_[np.ones(first, np.int64), sizes]
+    starts, wide = (np.cumsum(wide) - wide)[symbols], wide[symbols]
+    ends = np.cumsum(wide)
+    return flat[np.repeat(starts - ends + wide, wide) + np.arange(ends[-1])]
+
+
+def _unfolded(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for, one level of all rules after another."""
     while len(symbols):
         deep = symbols >= first
         if not deep.any():

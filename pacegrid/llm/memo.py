@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from pacegrid.llm.pretokens import Pretokens, fits
+
 #: Pieces remembered in one task; as many older ones are kept until the next are full.
 REMEMBERED = 400_000
 
@@ -114,7 +116,7 @@ def ids_of(path: str, cutter: str) -> Memo:
     return held("ids", path, cutter, make=lambda: _ids_of(path, cutter))
 
 
-def _ids_of(path: str, cutter: str) -> Memo:
+def _ids_of(path: str, cutter: str) -> Memo | Pretokens:
     """Token ids as little-endian unsigned 32-bit bytes, by a ``tokenizers`` file.
 
     A plain word's pre-tokens are known without the library's patterns: its letters (with a blank
@@ -154,4 +156,5 @@ def _ids_of(path: str, cutter: str) -> Memo:
             out = ids((opens + word).translate(spelled))
         return out + marks(ends) if ends else out
 
-    return Memo(CUTTERS[cutter], ask, whole)
+    memo = Memo(CUTTERS[cutter], ask, whole)
+    return Pretokens(memo, library) if cutter == "spaced" and fits(library) else memo
