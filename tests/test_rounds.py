@@ -3,14 +3,29 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pacegrid.operators import targets
 from pacegrid.plans import models as M
-from pacegrid.plans import staged
+from pacegrid.plans import race, staged
+from pacegrid.plans.features import CELLS
+from pacegrid.plans.laps import SECTORS
 
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def final(spark):
+    n = F.col("id")
+    noise = F.pmod(F.xxhash64("id"), F.lit(97)).cast("double")
+    numbers = {c: (noise * (i + 1) % 31).alias(c) for i, c in enumerate([*CELLS, *SECTORS])}
+    return spark.range(240).select(
+        F.when(n % 4 == 0, "TEST").otherwise("TRAIN").alias("tr"), F.concat(F.lit("E"), n % 2).alias("EVENT"), F.concat(F.lit("L"), n % 3).alias("LOCATION"),
+        (n % 20).alias("NUMBER"), (1 + n % 6).cast("int").alias("LAP_NUMBER"), (80 + noise / 5).alias("LAP_TIME"),
+        F.concat(F.lit("k"), n).alias("LAP_KEY"), *numbers.values(),
+    )
+
+
 def test_rounds_are_scored_without_a_row_for_each(spark):
     n = F.col("id")
     df = spark.range(300).select((n * 37 % 101).cast("double").alias("x"), F.when(n % 50 > 0, 20 + n % 13 + n * 37 % 101).cast("double").alias("y"))
@@ -25,3 +40,15 @@ def test_rounds_are_scored_without_a_row_for_each(spark):
         assert row["rmsle"] == pytest.approx(M.RmsleEvaluator(labelCol="y", predictionCol="predict").evaluate(cut), rel=1e-12)
         assert row["scored"] + row["unscored"] == held.count() and row["unscored"] == held.where("y IS NULL").count()
     assert points.count() == 2 * staged.CARRY + 3
+
+
+def test_laps_are_written_once_for_both_fits(final, monkeypatch):
+    written, whole = [], race.settle
+    for module in (race, targets):
+        monkeypatch.setattr(module, "settle", lambda df: written.append(df.columns) or whole(df))
+    predicted = race.tree_predictions(final, maxIter=2, maxDepth=2)
+    assert not [c for c in written if "predict" in c or "__fitted" in c]
+    assert len([c for c in written if "LAP_KEY" in c and "NUMBER_MEAN" not in c]) == 1
+    assert predicted.columns == ["LAP_KEY", "LAP_TIME", "predict", "model"]
+    assert {(r["model"], r["count"]) for r in predicted.groupBy("model").count().collect()} == {("stopped", 60), ("refitted", 60)}
+    assert predicted.where("predict IS NULL").isEmpty()
