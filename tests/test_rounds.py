@@ -52,3 +52,11 @@ def test_laps_are_written_once_for_both_fits(final, monkeypatch):
     assert predicted.columns == ["LAP_KEY", "LAP_TIME", "predict", "model"]
     assert {(r["model"], r["count"]) for r in predicted.groupBy("model").count().collect()} == {("stopped", 60), ("refitted", 60)}
     assert predicted.where("predict IS NULL").isEmpty()
+
+
+def test_leader_and_stack_come_from_one_pass(final):
+    more = {"GROUP": 0.0, "KPH": 150.0, "POWER": 200.0, "TEAM": "T"}
+    predicted = race.residual_predictions(final.withColumns({c: F.lit(v) for c, v in more.items()}), maxIter=2, maxDepth=2)
+    assert plan(predicted).count("Relation [") == 2
+    counts = {r["model"]: r["count"] for r in predicted.groupBy("model").count().collect()}
+    assert len(counts) == 3 and set(counts.values()) == {60} and {"Baseline_LM", "residual"} < set(counts)
