@@ -59,9 +59,9 @@ def test_only_what_a_task_holds_is_fitted_there(table, monkeypatch):
     (ready, merged), _ = rows_of(table)
     used, whole = [], binned.Rows.fit
     monkeypatch.setattr(binned.Rows, "fit", lambda self, *a: used.append(1) or whole(self, *a))
-    small = M.fit_on(M.tree_estimator("y", "predict", **SETTINGS), ready, merged)
+    small = M.fit_in_task(M.tree_estimator("y", "predict", **SETTINGS), ready, merged)
     monkeypatch.setattr(binned, "TASK_BYTES", 1000)
-    large = M.fit_on(M.tree_estimator("y", "predict", **SETTINGS), ready, merged)
+    large = M.fit_in_task(M.tree_estimator("y", "predict", **SETTINGS), ready, merged)
     assert used == [1] and shapes(small) == shapes(large)
     assert not binned.knows(M.tree_estimator("y", "predict").setSubsamplingRate(0.5))
 
